@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import topk
+from . import mixing, topk, warc
 
-_MODULES = (("op10_exact_topk", topk),)
+_MODULES = (("op6_warc_sequential", warc), ("op7_mix_hash_threshold", mixing), ("op10_exact_topk", topk))
 
 QUERIES = {name: getattr(m, name) for name, m in _MODULES}
 ORACLES = {name: m.ORACLE for name, m in _MODULES if m.ORACLE}
