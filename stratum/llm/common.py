@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Marks ``df`` for broadcast only when its counted rows stay within ``most``."""
     return F.broadcast(df) if rows <= most else df
+
+
+class Shipped:
+    """A broadcast object of one of our classes: by value, as executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, obj):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(obj))
+
+    def get(self):
+        return cloudpickle.loads(self._sent.value)

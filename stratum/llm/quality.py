@@ -19,12 +19,15 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Shipped, table
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
@@ -194,13 +197,14 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: s
 
 def scored(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shipped(docs.sparkSession, model)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
+        model = sent.get()
         for b in batches:
             f = np.array([features(t) for t in b.column(1).to_pylist()], float).reshape(b.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.score(f), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(f), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
@@ -212,22 +216,18 @@ def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs``, with their columns, that the classifier accepts."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **kw))
+    sent = Shipped(docs.sparkSession, train(docs, labels, text_col=text_col, **kw))
 
     @F.pandas_udf("double")
-    def score(text):
-        return _series(model.value.score(np.array([features(t) for t in text], float).reshape(len(text), len(FEATURES))))
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = sent.get()
+        for text in parts:
+            yield pd.Series(model.score(np.array([features(t) for t in text], float).reshape(len(text), len(FEATURES))))
 
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{text_col}`").alias("t"))
     return row.filter(score("t") >= THRESHOLD).select("r.*")
 
 
-def _series(v):
-    import pandas as pd
-
-    return pd.Series(v)
-
-
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
