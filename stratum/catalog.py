@@ -4,5 +4,529 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stratum.functions.text import word_tokens
+from stratum.operators import bm25, clustering, evaluate, expand, fusion, graph, lookup, readings, state, vectors
+from stratum.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---- text and BM25
+
+_TOK = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+_INDEX = f"""i AS MATERIALIZED (SELECT doc_id AS id, lang, source, {_TOK} AS w FROM documents),
+n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM i)"""
+
+
+def _freq(p: list[str]) -> str:
+    if len(p) == 1:
+        return f"len(list_filter(w, lambda x: x = '{p[0]}'))"
+    same = " AND ".join(f"w[j + {k}] = '{t}'" for k, t in enumerate(p))
+    return f"len(list_filter(range(1, len(w) - {len(p) - 2}), lambda j: {same}))"
+
+
+def bm25_sql(phrases: list[list[str]], select: str = "id, score", where: str = "true", limit: int = 50, join: str = "") -> str:
+    cols = ", ".join(f"{_freq(p)} AS f{k}" for k, p in enumerate(phrases))
+    idf = ", ".join(f"greatest(ln((n - count(*) FILTER (f{k} > 0) + 0.5) / (count(*) FILTER (f{k} > 0) + 0.5)), 1e-6) AS i{k}" for k in range(len(phrases)))
+    part = " + ".join(f"i{k} * (f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * len(w) / a)))" for k in range(len(phrases)))
+    some = " OR ".join(f"f{k} > 0" for k in range(len(phrases)))
+    return f"""WITH {_INDEX},
+f AS (SELECT *, {cols} FROM i), d AS (SELECT {idf} FROM f, n GROUP BY n),
+s AS (SELECT id, lang, source, round(-({part}), 6) AS score FROM f, n, d WHERE ({some}) AND {where} ORDER BY score, id LIMIT {limit})
+SELECT {select} FROM s {join}"""
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", "word", "lang", "source")
+
+
+@query(bm25_sql([["the"]]))
+def bm25_term(spark, sf_dir):
+    return bm25.search(documents_index(spark, sf_dir), [["the"]], 50).select("id", "score")
+
+
+@query(bm25_sql([["of", "the"]]))
+def bm25_phrase(spark, sf_dir):
+    return bm25.search(documents_index(spark, sf_dir), [["of", "the"]], 50).select("id", "score")
+
+
+_OR = [["of", "the"], ["der"], ["on", "the", "and"]]
+
+
+@query(bm25_sql(_OR))
+def bm25_or(spark, sf_dir):
+    return bm25.search(documents_index(spark, sf_dir), _OR, 50).select("id", "score")
+
+
+@query(bm25_sql([["of", "the"]], where="source = 'src0'", limit=20))
+def bm25_corpus_filter(spark, sf_dir):
+    return bm25.search(documents_index(spark, sf_dir), [["of", "the"]], 20, F.col("source") == "src0").select("id", "score")
+
+
+@query(bm25_sql([["and"]], "id, score, quality", limit=50, join="LEFT JOIN labels ON id = doc_id"))
+def bm25_left_payload(spark, sf_dir):
+    hits = bm25.search(documents_index(spark, sf_dir), [["and"]], 50).select("id", "score")
+    return hits.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left")
+
+
+_BATCH = {1: [["the"]], 2: [["of", "the"]], 3: _OR, 4: [["die"], ["und"]]}
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({q} AS BIGINT) AS query_id, CAST(row_number() OVER (ORDER BY score, id) AS INTEGER) AS rank, id, score FROM ({bm25_sql(p, limit=20)})" for q, p in _BATCH.items()))
+def bm25_batch_postings(spark, sf_dir):
+    idx = documents_index(spark, sf_dir)
+    rows = [(q, i, p) for q, ps in _BATCH.items() for i, p in enumerate(ps)]
+    q = spark.createDataFrame(rows, "query_id long, phrase_id int, tokens array<string>")
+    totals = bm25.index_stats(idx)
+    return bm25.batch_search(bm25.postings(idx), totals, F.broadcast(q), 20)
+
+
+@query(f"""SELECT 'documents' AS name, count(*) AS n_docs, CAST(sum(len({_TOK})) AS BIGINT) AS n_tokens FROM documents
+UNION ALL SELECT 'pages', count(*), CAST(sum(len({_TOK.replace('text', 'html')})) AS BIGINT) FROM pages
+UNION ALL SELECT 'conversations', count(*), CAST(sum(len({_TOK})) AS BIGINT) FROM conversations""")
+def token_stats(spark, sf_dir):
+    out = None
+    for name, col in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
+        x = table(spark, sf_dir, name).agg(F.lit(name).alias("name"), F.count("*").alias("n_docs"), F.sum(F.size(word_tokens(F.coalesce(F.col(col), F.lit(""))))).alias("n_tokens"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query(f"WITH {_INDEX} SELECT t AS term, count(*) AS cf, count(DISTINCT id) AS df FROM (SELECT id, unnest(w) AS t FROM i) GROUP BY t")
+def index_terms(spark, sf_dir):
+    return bm25.postings(documents_index(spark, sf_dir)).groupBy("term", "id").agg(F.count("*").alias("c")).groupBy("term").agg(F.sum("c").alias("cf"), F.count("*").alias("df"))
+
+
+@query(f"WITH {_INDEX} SELECT n AS n_docs, round(a, 6) AS avg_len, (SELECT count(*) FROM i WHERE {_freq(['of', 'the'])} > 0) AS df_0 FROM n")
+def index_stats(spark, sf_dir):
+    return bm25.index_stats(documents_index(spark, sf_dir), [["of", "the"]]).withColumn("avg_len", F.round("avg_len", 6))
+
+
+# ---- mentions: parts in orders (paragraphs) of customers (articles)
+
+_M = """m AS MATERIALIZED (SELECT l_orderkey AS passage_id, o_custkey AS node_id, l_partkey AS entity, p_brand AS type, l_linenumber AS char_offset
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+seed AS MATERIALIZED (SELECT entity FROM m GROUP BY entity ORDER BY count(DISTINCT passage_id) DESC, entity LIMIT 1)"""
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    x = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return x.select(F.col("l_orderkey").alias("passage_id"), F.col("o_custkey").alias("node_id"), F.col("l_partkey").alias("entity"), F.col("p_brand").alias("type"), F.col("l_linenumber").alias("char_offset"))
+
+
+def seed_of(m: DataFrame) -> DataFrame:
+    """The entity in most paragraphs, then the smallest."""
+    return m.select("entity", "passage_id").distinct().groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(1).select("entity")
+
+
+def _cooc_sql(unit: str, kind: str = "true") -> str:
+    return f"""WITH {_M}, u AS (SELECT DISTINCT {unit} AS unit FROM m WHERE entity IN (SELECT entity FROM seed))
+SELECT entity, count(DISTINCT {unit}) AS cooc FROM m WHERE {unit} IN (SELECT unit FROM u) AND entity NOT IN (SELECT entity FROM seed) AND {kind} GROUP BY entity ORDER BY cooc DESC, entity LIMIT 50"""
+
+
+@query(_cooc_sql("node_id"))
+def cooc_article(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    return graph.neighbours(m, "node_id", "entity", seed_of(m), 50)
+
+
+@query(_cooc_sql("passage_id"))
+def cooc_paragraph(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    return graph.neighbours(m, "passage_id", "entity", seed_of(m), 50)
+
+
+@query(_cooc_sql("node_id", "type = 'Brand#1'"))
+def cooc_neighbor_type(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    return graph.neighbours(m, "node_id", "entity", seed_of(m), 50, F.col("type") == "Brand#1")
+
+
+_EGO = f"""{_M}, u AS (SELECT DISTINCT passage_id AS unit FROM m WHERE entity IN (SELECT entity FROM seed)),
+near AS MATERIALIZED (SELECT entity, count(DISTINCT passage_id) AS cooc FROM m WHERE passage_id IN (SELECT unit FROM u) AND entity NOT IN (SELECT entity FROM seed) GROUP BY entity HAVING count(DISTINCT passage_id) >= 1 ORDER BY cooc DESC, entity LIMIT 200),
+mem AS MATERIALIZED (SELECT entity FROM near UNION SELECT entity FROM seed),
+deg AS MATERIALIZED (SELECT entity, count(DISTINCT passage_id) AS degree FROM m WHERE entity IN (SELECT entity FROM mem) GROUP BY entity),
+du AS MATERIALIZED (SELECT DISTINCT passage_id AS unit, entity FROM m WHERE entity IN (SELECT entity FROM mem)),
+pr AS MATERIALIZED (SELECT x.entity AS a, y.entity AS b, count(*) AS cooc FROM du x JOIN du y ON x.unit = y.unit AND x.entity < y.entity GROUP BY ALL),
+jac AS MATERIALIZED (SELECT a, b, cooc, round(cooc / (da.degree + db.degree - cooc), 12) AS sim FROM pr JOIN deg da ON a = da.entity JOIN deg db ON b = db.entity)"""
+
+
+@query(f"WITH {_EGO} SELECT entity, cooc FROM near")
+def ego_neighbors(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    return graph.ego(m, "passage_id", "entity", seed_of(m), 1, 200)[0]
+
+
+def _ego(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    seed = seed_of(m)
+    members = graph.ego(m, "passage_id", "entity", seed, 1, 200)[0].select("entity").unionByName(seed)
+    return m, members
+
+
+@query(f"WITH {_EGO} SELECT entity, degree FROM deg")
+def ego_degree(spark, sf_dir):
+    m, members = _ego(spark, sf_dir)
+    return graph.degrees(m, "passage_id", "entity", members)
+
+
+@query(f"WITH {_EGO} SELECT a, b, cooc FROM pr")
+def ego_pairs(spark, sf_dir):
+    m, members = _ego(spark, sf_dir)
+    return graph.pairs(m, "passage_id", "entity", members, 1)
+
+
+@query(f"WITH {_EGO} SELECT a, b, cooc, round(sim, 6) AS sim FROM jac")
+def ego_jaccard(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    return graph.local_graph(m, "passage_id", "entity", seed_of(m), 1, 200)[1].withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH {_M} SELECT c_mktsegment AS corpus_code, m.node_id, m.passage_id, m.char_offset, m.entity FROM m JOIN customer ON m.node_id = c_custkey
+WHERE entity IN (SELECT entity FROM seed) ORDER BY 1, 2, 3, 4 LIMIT 100""")
+def lookup_occurrences(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("corpus_code"))
+    hit = m.join(F.broadcast(seed_of(m)), "entity", "left_semi")
+    return lookup.occurrences(hit, [(c, "node_id")], F.lit(True), ["corpus_code", "node_id", "passage_id", "char_offset"], 100).select("corpus_code", "node_id", "passage_id", "char_offset", "entity")
+
+
+# ---- clustering
+
+_SIM, _MU = 0.32, 1.35
+_EDGES = """v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 500),
+nv AS MATERIALIZED (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM v),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.l * b.l), 9) AS sim FROM nv a JOIN nv b ON a.vec_id < b.vec_id)"""
+
+
+def _fdb_sql(edges: str, points: str, sim: str, mu: str) -> str:
+    """Recursive closure over cores; memberships of cores and border points."""
+    return f"""{edges},
+ok AS MATERIALIZED (SELECT a, b, sim FROM s WHERE sim > 0 AND sim >= {sim} UNION ALL SELECT b, a, sim FROM s WHERE sim > 0 AND sim >= {sim}),
+core AS MATERIALIZED (SELECT a AS p FROM ok GROUP BY a HAVING round(sum(sim), 12) >= {mu}),
+cc AS (SELECT a, b FROM ok WHERE a IN (SELECT p FROM core) AND b IN (SELECT p FROM core)),
+reach AS (SELECT p AS a, p AS b FROM core UNION SELECT r.a, cc.b FROM reach r JOIN cc ON r.b = cc.a),
+lab AS (SELECT a AS p, min(b) AS label FROM reach GROUP BY a),
+num AS (SELECT p, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster FROM lab),
+brd AS (SELECT ok.a AS p, cluster, sum(sim) AS x FROM ok JOIN num ON ok.b = num.p WHERE ok.a NOT IN (SELECT p FROM core) GROUP BY ok.a, cluster),
+mem AS (SELECT p AS point, cluster, 1.0::DOUBLE AS membership, true AS core FROM num
+        UNION ALL SELECT p, cluster, x / sum(x) OVER (PARTITION BY p), false FROM brd),
+pts AS (SELECT {points})"""
+
+
+def cosine_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings").filter("vec_id < 500").select("vec_id", F.col("embedding").alias("e"))
+    q = v.select(F.col("vec_id").alias("a"), F.col("e").alias("ea"))
+    e = q.join(F.broadcast(v.select(F.col("vec_id").alias("b"), F.col("e").alias("eb"))), F.col("a") < F.col("b")).select("a", "b", F.round(vectors.cosine(F.col("ea"), F.col("eb")), 9).alias("sim"))
+    return v.select(F.col("vec_id").alias("point")), clustering.cut_lineage(e)
+
+
+_COS = _fdb_sql(_EDGES, "vec_id AS point FROM v", str(_SIM), str(_MU))
+
+
+@query(f"WITH RECURSIVE {_COS} SELECT point, cluster, round(membership, 6) AS membership, core FROM mem")
+def fdbscan_members(spark, sf_dir):
+    p, e = cosine_edges(spark, sf_dir)
+    return clustering.fdbscan(p, e, _SIM, _MU).withColumn("membership", F.round("membership", 6))
+
+
+@query(f"WITH RECURSIVE {_COS} SELECT point FROM pts WHERE point NOT IN (SELECT point FROM mem)")
+def fdbscan_noise(spark, sf_dir):
+    p, e = cosine_edges(spark, sf_dir)
+    return clustering.noise(p, clustering.fdbscan(p, e, _SIM, _MU))
+
+
+@query(f"WITH RECURSIVE {_COS} SELECT point, round(-sum(membership * ln(membership)), 6) AS entropy FROM mem GROUP BY point HAVING count(*) > 1")
+def membership_entropy(spark, sf_dir):
+    p, e = cosine_edges(spark, sf_dir)
+    return evaluate.membership_entropy(clustering.fdbscan(p, e, _SIM, _MU)).withColumn("entropy", F.round("entropy", 6))
+
+
+_SUGGEST = f"""{_EGO}, sq AS (SELECT coalesce(list_sort(list(sim))[CAST(floor(0.8 * (count(*) - 1)) AS BIGINT) + 1], 0.12) AS sm, count(*) AS positive_edges FROM jac WHERE sim > 0),
+rho AS (SELECT entity, round(coalesce(sum(x.sim), 0), 12) AS r FROM mem LEFT JOIN (SELECT a, sim FROM jac UNION ALL SELECT b, sim FROM jac) x ON x.a = entity AND x.sim >= (SELECT sm FROM sq) GROUP BY entity),
+mq AS (SELECT list_sort(list(r))[CAST(floor(0.5 * (count(*) - 1)) AS BIGINT) + 1] AS mm FROM rho)
+"""
+
+
+@query(f"WITH {_SUGGEST} SELECT floor(sm * 1000 + 0.5) / 1000 AS sim_min, floor(mm * 1000 + 0.5) / 1000 AS mu_min, positive_edges FROM sq, mq")
+def fdbscan_suggest(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    members, edges, _ = graph.local_graph(m, "passage_id", "entity", seed_of(m), 1, 200)
+    return clustering.suggest_thresholds(members.select(F.col("entity").alias("point")), edges)
+
+
+@query()
+def fdbscan_auto(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    r = clustering.place_clusters(m, "passage_id", "entity", seed_of(m), "auto")
+    return r["members"].withColumn("membership", F.round("membership", 6))
+
+
+@query()
+def fdbscan_sweep(spark, sf_dir):
+    p, e = cosine_edges(spark, sf_dir)
+    cols = ("noise_rate", "max_fuzzy", "border_rate", "score", "core_ratio", "multi_border", "entropy")
+    out = clustering.sweep(p, e, clustering.grid(spark, _SIM, _MU))
+    return out.select("candidate", "clusters", *[F.round(c, 6).alias(c) for c in cols])
+
+
+@query("SELECT l_returnflag AS g, list_sort(list(l_extendedprice))[CAST(floor(0.8 * (count(*) - 1)) AS BIGINT) + 1] AS q FROM lineitem GROUP BY 1")
+def quantile_floor(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(clustering.quantile(F.col("l_extendedprice"), 0.8).alias("q"))
+
+
+@query("SELECT l_partkey AS entity, CAST(least(greatest(floor(log10(count(DISTINCT l_orderkey) + 1) + 0.5), 1), 5) AS INTEGER) AS min_cooc FROM lineitem GROUP BY 1")
+def estimate_min_cooc(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("entity")).agg(F.count_distinct("l_orderkey").alias("n"))
+    return x.select("entity", clustering.estimate_min_cooc(F.col("n")).alias("min_cooc"))
+
+
+# ---- vectors and fusion
+
+_COSSQL = """v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS l FROM embeddings),
+c AS (SELECT q.vec_id AS query_id, d.vec_id AS id, d.label, q.label AS qlabel, round(list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2])) / (q.l * d.l), 9) AS score FROM v q JOIN v d ON q.vec_id < 10)"""
+
+
+@query(f"WITH {_COSSQL} SELECT id, score FROM c WHERE query_id = 0 ORDER BY score DESC, id LIMIT 20")
+def vec_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = v.filter("id = 0").first()
+    return vectors.vector_rank(v, q["vec"], 20)
+
+
+@query(f"WITH {_COSSQL}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM c) SELECT query_id, rank, id, score FROM r WHERE rank <= 10")
+def vec_topk_batch(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return vectors.vector_rank_batch(v, v.filter("id < 10").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), 10)
+
+
+@query("""WITH q AS (SELECT vec_id AS id, embedding AS e, list_transform(embedding, lambda x: CAST(greatest(-127, least(127, floor(CAST(x AS DOUBLE) * 127 + 0.5))) AS INTEGER)) AS q FROM embeddings)
+SELECT id, CAST(list_sum(q) AS BIGINT) AS total, list_min(q) AS low, list_max(q) AS high, round(list_max(list_transform(list_zip(e, q), lambda z: abs(z[1] - CAST(z[2] / 127.0::DOUBLE AS FLOAT)))), 5) AS error FROM q""")
+def vec_int8_roundtrip(spark, sf_dir):
+    q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"), vectors.quantize_int8(F.col("embedding")).alias("q")).withColumn("d", vectors.dequantize_int8(F.col("q")))
+    err = F.array_max(F.zip_with("e", "d", lambda a, b: F.abs(a - b)))
+    return q.select("id", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_min("q").alias("low"), F.array_max("q").alias("high"), F.round(err.cast("double"), 5).alias("error"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS item, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank FROM customer QUALIFY rank <= 100),
+b AS (SELECT o_custkey AS item, CAST(row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS INTEGER) AS rank FROM orders GROUP BY o_custkey QUALIFY rank <= 100)
+SELECT item, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT *, 2.0::DOUBLE AS w FROM a UNION ALL SELECT *, 1.5 FROM b) GROUP BY item ORDER BY score DESC, item LIMIT 50""")
+def weighted_rrf(spark, sf_dir):
+    return fusion.sort_fused(fusion.fuse(_two_arms(spark, sf_dir), {"han": 2.0, "vec_ko": 1.5}).withColumn("score", F.round("score", 9)), 50)
+
+
+@query("""WITH a AS (SELECT c_custkey AS item, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 100),
+b AS (SELECT o_custkey AS item, row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS rank FROM orders GROUP BY o_custkey QUALIFY rank <= 100)
+SELECT item, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY item""")
+def rrf(spark, sf_dir):
+    a = _two_arms(spark, sf_dir)
+    return fusion.rrf(a["han"].unionByName(a["vec_ko"])).withColumn("score", F.round("score", 9))
+
+
+def _two_arms(spark, sf_dir) -> dict[str, DataFrame]:
+    c = table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(100)
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t")).orderBy(F.desc("t"), "o_custkey").limit(100)
+    return {"han": fusion.ranked(c, [F.desc("c_acctbal"), "c_custkey"], "c_custkey"), "vec_ko": fusion.ranked(o, [F.desc("t"), "o_custkey"], "o_custkey")}
+
+
+def hybrid_arms(spark: SparkSession, sf_dir: str, k: int = 200) -> dict[str, DataFrame]:
+    """Two lexical arms over documents and a vector arm over the rows that share their ids."""
+    idx = documents_index(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = v.filter("id = 0").first()["vec"]
+    return {
+        "han": fusion.ranked(bm25.search(idx, [["of", "the"]], k), ["score", "id"]),
+        "ko": fusion.ranked(bm25.search(idx, [["and"]], k), ["score", "id"]),
+        "vec_han": fusion.ranked(vectors.vector_rank(v, q, k), [F.desc("score"), "id"]),
+    }
+
+
+_HYBRID = f"""WITH h AS ({bm25_sql([['of', 'the']], limit=200)}), k AS ({bm25_sql([['and']], limit=200)}),
+x AS (WITH {_COSSQL} SELECT id, score FROM c WHERE query_id = 0 ORDER BY score DESC, id LIMIT 200),
+r AS (SELECT id, 2.0::DOUBLE / (60 + row_number() OVER (ORDER BY score, id)) AS s FROM h
+      UNION ALL SELECT id, 2.0::DOUBLE / (60 + row_number() OVER (ORDER BY score, id)) FROM k
+      UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM x),
+f AS (SELECT id, round(sum(s), 12) AS s FROM r GROUP BY id ORDER BY s DESC, id LIMIT 20)
+SELECT f.id AS item, round(s, 6) AS score, lang, source FROM f JOIN documents ON f.id = doc_id"""
+
+
+@query(_HYBRID)
+def hybrid_core(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    return fusion.hybrid(hybrid_arms(spark, sf_dir), docs, 20).select("item", "score", "lang", "source")
+
+
+# ---- expansion
+
+_FOLD = {"é": "e", "è": "e", "ê": "e", "ç": "c", "ü": "u", "ö": "o", "ä": "a", "ß": "s", "ó": "o", "í": "i", "ñ": "n"}
+
+
+def fold_table(spark: SparkSession) -> DataFrame:
+    """Accented letters in the part of traditional characters, plain ones in that of simplified."""
+    return spark.createDataFrame(list(_FOLD.items()), "char string, simplified string")
+
+
+@query(f"SELECT doc_id, md5(translate(text, '{''.join(_FOLD)}', '{''.join(_FOLD.values())}')) AS folded, translate(text, '{''.join(_FOLD)}', '{''.join(_FOLD.values())}') <> text AS changed FROM documents")
+def simplified_map(spark, sf_dir):
+    from stratum.functions.text import to_simplified
+
+    d = to_simplified(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", fold_table(spark))
+    return d.select("doc_id", F.md5(F.encode("simplified_text", "utf-8")).alias("folded"), "changed")
+
+
+@query("""WITH RECURSIVE t(c, s) AS (VALUES %s), q AS (SELECT DISTINCT lower(n_name) AS q FROM nation),
+w AS (SELECT q, 0 AS i, [''] AS a FROM q UNION ALL
+  SELECT w.q, i + 1, list_slice(flatten(list_transform(a, lambda x: list_transform(coalesce((SELECT list(c ORDER BY c) FROM t WHERE s = substr(w.q, i + 1, 1)), [substr(w.q, i + 1, 1)]), lambda o: x || o))), 1, 16) FROM w WHERE i < length(w.q))
+SELECT DISTINCT q, unnest(list_append(a, q)) AS candidate FROM w WHERE i = length(q)""" % ", ".join(f"('{a}', '{b}')" for a, b in _FOLD.items()))
+def simplified_expand(spark, sf_dir):
+    q = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("q")).distinct()
+    return expand.expand_traditional(q, "q", fold_table(spark)).select("q", F.explode("candidates").alias("candidate"))
+
+
+@query("""WITH m AS (SELECT dense_rank() OVER (ORDER BY p_brand, p_type) AS g, p_name AS surface FROM part)
+SELECT DISTINCT b.surface FROM m a JOIN m b USING (g) WHERE a.surface = (SELECT min(p_name) FROM part)
+UNION SELECT min(p_name) FROM part""")
+def variants_expand(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("group_id"), F.col("p_name").alias("surface"))
+    return expand.expand_variants(p, p.agg(F.min("surface")).first()[0])
+
+
+@query(bm25_sql([["and"], ["auf"], ["der"]], limit=20))
+def variants_search(spark, sf_dir):
+    groups = spark.createDataFrame([(1, "und"), (1, "and"), (2, "and"), (2, "der"), (2, "auf"), (3, "la")], "group_id int, surface string").filter("group_id = 2")
+    names = expand.search_phrases(expand.expand_variants(groups, "and"))
+    return bm25.search(documents_index(spark, sf_dir), [[n] for n in names], 20).select("id", "score")
+
+
+_LAYER = """l AS (SELECT c_custkey AS entity_id, n_name AS reading, 'original' AS reading_type, 'dict' AS source, c_acctbal > 0 AS adopted FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT c_custkey, c_mktsegment, 'conventional', 'rule', c_custkey % 3 <> 0 FROM customer)"""
+
+
+@query(f"""WITH {_LAYER}, q AS (SELECT min(c_mktsegment) AS q FROM customer),
+h AS (SELECT DISTINCT entity_id FROM l WHERE adopted AND reading = (SELECT q FROM q))
+SELECT entity_id, max(reading) FILTER (reading_type = 'original') AS original, max(source) FILTER (reading_type = 'original') AS original_source, max(reading) FILTER (reading_type = 'conventional') AS conventional
+FROM l WHERE adopted AND entity_id IN (SELECT entity_id FROM h) GROUP BY entity_id ORDER BY entity_id LIMIT 50""")
+def reading_lookup(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    a = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("entity_id"), F.col("n_name").alias("reading"), F.lit("original").alias("reading_type"), F.lit("dict").alias("source"), (F.col("c_acctbal") > 0).alias("adopted"))
+    b = c.select(F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("reading"), F.lit("conventional").alias("reading_type"), F.lit("rule").alias("source"), (F.col("c_custkey") % 3 != 0).alias("adopted"))
+    q = c.agg(F.min("c_mktsegment")).first()[0]
+    return expand.lookup_by_reading(c.select(F.col("c_custkey").alias("entity_id")), a.unionByName(b), q)
+
+
+@query("""WITH r AS (SELECT DISTINCT l_partkey AS char, l_suppkey AS target FROM lineitem), s AS (SELECT s_suppkey AS target, n_name AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0),
+k AS (SELECT char, count(DISTINCT r) AS n, arg_min(r.target, r.target) AS via, arg_min(s.r, r.target) AS reading FROM r JOIN s USING (target) WHERE r.target <> char GROUP BY char)
+SELECT DISTINCT r.char, CASE WHEN n = 1 THEN via END AS via, CASE WHEN n = 1 THEN 'supplied' END AS field, CASE WHEN n = 1 THEN k.reading END AS reading FROM r LEFT JOIN k USING (char)""")
+def variant_classify(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("char"), F.col("l_suppkey").alias("target")).distinct().select("char", "target", F.lit("supplied").alias("field"), F.col("target").alias("ord"))
+    s = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("char"), F.col("n_name").alias("reading"))
+    return readings.classify_by_variant(v.select("char"), v, s)
+
+
+# ---- state
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def pending_anti(spark, sf_dir):
+    return state.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
+
+
+@query("SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def pending_count(spark, sf_dir):
+    return state.count_pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def adopt_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("adopted", F.lit(True))
+    return state.adopted(e, "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("""WITH t AS (SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1)
+SELECT * FROM t UNION ALL SELECT user_id, event_type, event_id FROM events e WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM t WHERE t.user_id = e.user_id AND t.event_type = e.event_type)
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""")
+def insert_or_ignore(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    keys = ["user_id", "event_type"]
+    have = state.latest(e.filter("event_id % 2 = 0"), keys, [F.col("event_id")])
+    return state.insert_or_ignore(have, e.filter("event_id % 2 = 1"), keys, ["event_id"])
+
+
+@query("SELECT CAST(coalesce(c.c_custkey, n.o_custkey) AS BIGINT) AS id, CASE WHEN n.o_custkey IS NOT NULL THEN n.t ELSE c.c_acctbal END AS value FROM customer c FULL JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) n ON c.c_custkey = n.o_custkey")
+def upsert_latest(spark, sf_dir):
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    return state.upsert(t, table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("value")), ["id"])
+
+
+@query("""WITH e AS (SELECT p_partkey AS entity_id, p_brand AS type, p_name AS surface FROM part WHERE p_partkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) = 1),
+f AS (SELECT p_brand AS type, p_name AS surface, min(p_partkey) AS pos FROM part p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.type = p.p_brand AND e.surface = p.p_name) GROUP BY 1, 2)
+SELECT * FROM e UNION ALL SELECT (SELECT coalesce(max(entity_id), 0) FROM e) + row_number() OVER (ORDER BY pos, type, surface), type, surface FROM f""")
+def entity_resolve(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("type"), F.col("p_name").alias("surface"))
+    e = state.latest(p.filter("entity_id % 3 = 0"), ["type", "surface"], [F.col("entity_id")])
+    return state.resolve_entities(e, p.withColumnRenamed("entity_id", "pos"))
+
+
+# ---- evaluation: BM25 ranks of documents against good labels
+
+_EVALQ = {"the": [["the"]], "of the": [["of", "the"]], "der": [["der"]], "and": [["and"]]}
+_RANKS = " UNION ALL ".join(f"SELECT '{n}' AS q, id AS item, lang, row_number() OVER (ORDER BY score, id) AS rank FROM ({bm25_sql(p, 'id, score, lang', limit=50)})" for n, p in _EVALQ.items())
+_METRICS = f"""r AS ({_RANKS}), rel AS (SELECT doc_id AS item FROM labels WHERE quality = 1), nrel AS (SELECT count(DISTINCT item) AS n FROM rel),
+g AS (SELECT q, count(*) FILTER (rank <= 20 AND item IN (SELECT item FROM rel)) AS found, min(rank) FILTER (item IN (SELECT item FROM rel)) AS first,
+  coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 20 AND item IN (SELECT item FROM rel)), 0) AS dcg FROM r GROUP BY q),
+e AS (SELECT q, CASE WHEN n = 0 THEN 0.0 ELSE round(found / n, 9) END AS recall, CAST(found > 0 AS INTEGER) AS hit, round(coalesce(1 / first, 0), 9) AS rr,
+  CASE WHEN n = 0 THEN 0.0 ELSE round(dcg / list_sum(list_transform(range(1, CAST(least(20, n) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))), 9) END AS ndcg FROM g, nrel)"""
+
+
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idx = documents_index(spark, sf_dir)
+    parts = [fusion.ranked(bm25.search(idx, p, 50), ["score", "id"]).withColumn("q", F.lit(n)) for n, p in _EVALQ.items()]
+    ranks = parts[0]
+    for p in parts[1:]:
+        ranks = ranks.unionByName(p)
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("item"))
+    rel = good.join(F.broadcast(spark.createDataFrame([(n,) for n in _EVALQ], "q string")), F.lit(True))
+    return evaluate.per_query(ranks, rel, 20, ["q"])
+
+
+for _name, _col in (("metric_recall", "recall"), ("metric_hit", "hit"), ("metric_mrr", "rr"), ("metric_ndcg", "ndcg")):
+
+    def _metric(spark, sf_dir, col=_col):
+        return eval_metrics(spark, sf_dir).select("q", F.round(col, 6).alias("value") if col != "hit" else F.col(col).alias("value"))
+
+    QUERIES[_name] = _metric
+    ORACLES[_name] = f"WITH {_METRICS} SELECT q, {f'round({_col}, 6)' if _col != 'hit' else _col} AS value FROM e"
+
+
+@query(f"WITH {_METRICS} SELECT length(q) > 3 AS long, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit_rate, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, count(*) AS queries FROM e GROUP BY 1")
+def metric_by_group(spark, sf_dir):
+    return evaluate.means(eval_metrics(spark, sf_dir).withColumn("long", F.length("q") > 3), ["long"])
+
+
+@query(f"""WITH {_METRICS}, t AS (SELECT *, 'bm25' AS arm, CASE WHEN length(q) > 3 THEN 'phrase' ELSE 'term' END AS lang FROM e)
+SELECT arm, lang, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg, count(*) AS queries FROM t GROUP BY GROUPING SETS ((arm, lang), (arm))""")
+def metric_grouping_sets(spark, sf_dir):
+    m = eval_metrics(spark, sf_dir).withColumn("arm", F.lit("bm25")).withColumn("lang", F.when(F.length("q") > 3, "phrase").otherwise("term"))
+    return evaluate.by_language_and_overall(m, "lang", "arm")
+
+
+@query(f"WITH {_COSSQL} SELECT label = qlabel AS category, count(*) AS pairs, round(avg(score), 6) AS mean_sim, round(min(score), 6) AS min_sim, round(max(score), 6) AS max_sim FROM c WHERE query_id <> id GROUP BY 1")
+def pair_cosine_by_category(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
+    j = v.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select((F.col("label") == F.col("ql")).alias("category"), F.round(vectors.cosine(F.col("embedding"), F.col("qe")), 9).alias("sim"))
+    return evaluate.pair_similarity(j, "category", "sim")
