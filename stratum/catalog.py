@@ -33,19 +33,19 @@ n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM i)"""
 
 
 def _freq(p: list[str]) -> str:
-    if len(p) == 1:
-        return f"len(list_filter(w, lambda x: x = '{p[0]}'))"
-    same = " AND ".join(f"w[j + {k}] = '{t}'" for k, t in enumerate(p))
-    return f"len(list_filter(range(1, len(w) - {len(p) - 2}), lambda j: {same}))"
+    return "count(*) FILTER (" + " AND ".join(f"t{k} = '{t}'" for k, t in enumerate(p)) + ")"
 
 
 def bm25_sql(phrases: list[list[str]], select: str = "id, score", where: str = "true", limit: int = 50, join: str = "") -> str:
     cols = ", ".join(f"{_freq(p)} AS f{k}" for k, p in enumerate(phrases))
-    idf = ", ".join(f"greatest(ln((n - count(*) FILTER (f{k} > 0) + 0.5) / (count(*) FILTER (f{k} > 0) + 0.5)), 1e-6) AS i{k}" for k in range(len(phrases)))
-    part = " + ".join(f"i{k} * (f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * len(w) / a)))" for k in range(len(phrases)))
+    df = lambda k: f"(count(*) FILTER (f{k} > 0))"
+    idf = ", ".join(f"greatest(ln((n - {df(k)} + 0.5) / ({df(k)} + 0.5)), 1e-6) AS i{k}" for k in range(len(phrases)))
+    part = " + ".join(f"i{k} * (f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * k / a)))" for k in range(len(phrases)))
     some = " OR ".join(f"f{k} > 0" for k in range(len(phrases)))
     return f"""WITH {_INDEX},
-f AS (SELECT *, {cols} FROM i), d AS (SELECT {idf} FROM f, n GROUP BY n),
+t AS (SELECT id, lang, source, len(w) AS k, unnest(w) AS t0, generate_subscripts(w, 1) AS pos FROM i),
+t2 AS (SELECT *, lead(t0) OVER p AS t1, lead(t0, 2) OVER p AS t2 FROM t WINDOW p AS (PARTITION BY id ORDER BY pos)),
+f AS (SELECT id, lang, source, k, {cols} FROM t2 GROUP BY ALL), d AS (SELECT {idf} FROM f, n GROUP BY n),
 s AS (SELECT id, lang, source, round(-({part}), 6) AS score FROM f, n, d WHERE ({some}) AND {where} ORDER BY score, id LIMIT {limit})
 SELECT {select} FROM s {join}"""
 
@@ -111,7 +111,7 @@ def index_terms(spark, sf_dir):
     return bm25.postings(documents_index(spark, sf_dir)).groupBy("term", "id").agg(F.count("*").alias("c")).groupBy("term").agg(F.sum("c").alias("cf"), F.count("*").alias("df"))
 
 
-@query(f"WITH {_INDEX} SELECT n AS n_docs, round(a, 6) AS avg_len, (SELECT count(*) FROM i WHERE {_freq(['of', 'the'])} > 0) AS df_0 FROM n")
+@query(f"WITH {_INDEX} SELECT n AS n_docs, round(a, 6) AS avg_len, (SELECT count(DISTINCT id) FROM (SELECT id, t0, lead(t0) OVER (PARTITION BY id ORDER BY pos) AS t1 FROM (SELECT id, unnest(w) AS t0, generate_subscripts(w, 1) AS pos FROM i)) WHERE t0 = 'of' AND t1 = 'the') AS df_0 FROM n")
 def index_stats(spark, sf_dir):
     return bm25.index_stats(documents_index(spark, sf_dir), [["of", "the"]]).withColumn("avg_len", F.round("avg_len", 6))
 
@@ -316,7 +316,7 @@ def vec_topk_batch(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT vec_id AS id, embedding AS e, list_transform(embedding, lambda x: CAST(greatest(-127, least(127, floor(CAST(x AS DOUBLE) * 127 + 0.5))) AS INTEGER)) AS q FROM embeddings)
-SELECT id, CAST(list_sum(q) AS BIGINT) AS total, list_min(q) AS low, list_max(q) AS high, round(list_max(list_transform(list_zip(e, q), lambda z: abs(z[1] - CAST(z[2] / 127.0::DOUBLE AS FLOAT)))), 5) AS error FROM q""")
+SELECT id, CAST(list_sum(q) AS BIGINT) AS total, list_min(q) AS low, list_max(q) AS high, round(CAST(list_max(list_transform(list_zip(e, q), lambda z: abs(z[1] - CAST(z[2] / 127.0::DOUBLE AS FLOAT)))) AS DOUBLE), 5) AS error FROM q""")
 def vec_int8_roundtrip(spark, sf_dir):
     q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"), vectors.quantize_int8(F.col("embedding")).alias("q")).withColumn("d", vectors.dequantize_int8(F.col("q")))
     err = F.array_max(F.zip_with("e", "d", lambda a, b: F.abs(a - b)))
@@ -389,10 +389,13 @@ def simplified_map(spark, sf_dir):
     return d.select("doc_id", F.md5(F.encode("simplified_text", "utf-8")).alias("folded"), "changed")
 
 
-@query("""WITH RECURSIVE t(c, s) AS (VALUES %s), q AS (SELECT DISTINCT lower(n_name) AS q FROM nation),
+_BACK = "MAP {" + ", ".join(f"'{s}': [{', '.join(sorted(repr(a) for a, b in _FOLD.items() if b == s))}]" for s in sorted(set(_FOLD.values()))) + "}"
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT DISTINCT lower(n_name) AS q FROM nation),
 w AS (SELECT q, 0 AS i, [''] AS a FROM q UNION ALL
-  SELECT w.q, i + 1, list_slice(flatten(list_transform(a, lambda x: list_transform(coalesce((SELECT list(c ORDER BY c) FROM t WHERE s = substr(w.q, i + 1, 1)), [substr(w.q, i + 1, 1)]), lambda o: x || o))), 1, 16) FROM w WHERE i < length(w.q))
-SELECT DISTINCT q, unnest(list_append(a, q)) AS candidate FROM w WHERE i = length(q)""" % ", ".join(f"('{a}', '{b}')" for a, b in _FOLD.items()))
+  SELECT q, i + 1, list_slice(flatten(list_transform(a, lambda x: list_transform(coalesce({_BACK}[substr(q, i + 1, 1)], [substr(q, i + 1, 1)]), lambda o: x || o))), 1, 16) FROM w WHERE i < length(q))
+SELECT DISTINCT q, unnest(list_append(a, q)) AS candidate FROM w WHERE i = length(q)""")
 def simplified_expand(spark, sf_dir):
     q = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("q")).distinct()
     return expand.expand_traditional(q, "q", fold_table(spark)).select("q", F.explode("candidates").alias("candidate"))

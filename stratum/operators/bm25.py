@@ -65,10 +65,12 @@ def search(index: DataFrame, phrases: Sequence[Sequence[str]], limit: int | None
     if not phrases:
         return index.select(*cols, F.lit(0.0).alias("score")).limit(0)
     s = index_stats(index, phrases).first()
-    hits = index.select(*cols, *[phrase_frequency(F.col("tokens"), p).alias(f"f_{i}") for i, p in enumerate(phrases)])
-    hits = hits.filter(reduce(lambda a, b: a | b, [F.col(f"f_{i}") > 0 for i in range(len(phrases))]))
     if where is not None:
-        hits = hits.filter(where)
+        index = index.filter(where)
+    # a generator stops the filter below from being pushed into the tokeniser, which would then run for each position
+    freqs = F.array(*[phrase_frequency(F.col("tokens"), p).cast("int") for p in phrases])
+    hits = index.select(*cols, F.explode(F.array(freqs)).alias("f")).filter(F.exists("f", lambda x: x > 0))
+    hits = hits.select(*cols, *[F.get("f", F.lit(i)).alias(f"f_{i}") for i in range(len(phrases))])
     avg, n = F.lit(s["avg_len"]), F.lit(float(s["n_docs"]))
     parts = [idf(n, F.lit(float(s[f"df_{i}"]))) * term_weight(F.col(f"f_{i}"), F.col("n_tokens"), avg) for i in range(len(phrases))]
     out = hits.select(*cols, F.round(-reduce(lambda a, b: a + b, parts), DIGITS).alias("score"))
