@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,9 +46,6 @@ def pair_similarity(pairs: DataFrame, category: str, sim: str, digits: int = 6)
 
 def rerank(hits: DataFrame, scorer, query_col: str, text_col: str, top: int, by: str) -> DataFrame:
     """Hits ranked at ``top`` or better, ordered anew by a plug-in ``scorer(queries, texts) -> scores``."""
-    import pandas as pd
-    from pyspark.sql import Window
-
     @F.pandas_udf("double")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(list(scorer(list(q), list(t))), dtype="float64")

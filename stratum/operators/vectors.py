@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +59,6 @@ def load_vectors(raw: DataFrame, meta: DataFrame, id_col: str, vec_col: str, kin
 
 def embed(df: DataFrame, text_col: str, embedder, out: str = "vec", most: int = 512) -> DataFrame:
     """Vectors of texts by a plug-in, ``embedder(list of texts) -> list of vectors``, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(t: pd.Series) -> pd.Series:
         return pd.Series(list(embedder(["" if x is None else x[:most] for x in t])))
