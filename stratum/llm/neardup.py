@@ -10,7 +10,9 @@ Jaccard similarity; pairs that are well below the threshold go, and the others a
 Copies do not make pairs: documents with equal sets are one *node*. Within a band's bucket each node is
 compared with a pivot, which differs from bucket to bucket; the links give components, and a further
 round with other pivots joins most of what is left. Only where a bucket still holds nodes of different
-components are those compared pair by pair, so no link is lost and no group emits all its pairs.
+components are those compared pair by pair, on their registers and in blocks of ``BLOCK`` nodes that are dealt
+to different tasks; a pair becomes a row only if its estimate is near the threshold. So no link is lost and no
+group emits all its pairs.
 
 Sets are never all stored: texts are read again for the nodes of candidate pairs only.
 
@@ -24,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +37,7 @@ from .graph import components
 
 REGISTERS, ROWS, MANTISSA = 252, 6, 10
 BANDS = REGISTERS // ROWS
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS, BLOCK = 2, 256
 BROADCAST_ROWS = 500_000
 _CACHE = 200_000
 _FILL = np.random.default_rng(7).random((REGISTERS, REGISTERS)).astype(np.float32)
@@ -141,8 +144,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             rows = lambda i, kind: np.frombuffer(b"".join(b.column(i).to_pylist()), kind).reshape(b.num_rows, -1)
             bits = lambda i: np.unpackbits(rows(i, np.uint8), axis=1)[:, :REGISTERS]
             est, used = estimate(rows(2, np.uint16) * bits(3), rows(5, np.uint16) * bits(6), c(4), c(7))
-            # five standard deviations, and a bucket or two for small sets
-            keep = est >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - 2 / np.maximum(used, 1)
+            keep = _keep(est, used, threshold)
             t = pa.Table.from_batches([b.select([0, 1])]).filter(pa.array(keep))
             yield from t.to_batches()
 
@@ -152,6 +154,34 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return j.select("a", "b", "ra", "ma", "na", "rb", "mb", "nb").mapInArrow(run, "a binary, b binary")
 
 
+def _keep(est: np.ndarray, used: np.ndarray, threshold: float) -> np.ndarray:
+    """Not ruled out: within five standard deviations, and a bucket or two for small sets."""
+    used = np.maximum(used, 1)
+    return est >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / used) - 2 / used
+
+
+def _likely_in_blocks(mixed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The likely pairs (a, b) of unlike label in the buckets of ``mixed`` (key, fp, label, c)."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    m = mixed.join(nodes.select("fp", "regs", "mask", "n"), "fp").withColumn("i", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    m = m.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
+
+    def compare(pdf):
+        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1) * np.unpackbits(np.frombuffer(b"".join(pdf["mask"]), np.uint8).reshape(len(pdf), -1), axis=1)[:, :REGISTERS]
+        n, i, x, y = (pdf[c].to_numpy() for c in ("n", "i", "x", "y"))
+        label, fp = pdf["label"].to_numpy(), pdf["fp"].to_numpy()
+        left, out = np.flatnonzero(i == x[0]), []
+        for at, r in enumerate(left):
+            right = left[at + 1 :] if x[0] == y[0] else np.flatnonzero(i == y[0])
+            right = right[(label[right] != label[r]) & (np.minimum(n[right], n[r]) >= np.maximum(n[right], n[r]) * threshold - 1e-9)]
+            if len(right):
+                est, used = estimate(np.broadcast_to(regs[r], (len(right), REGISTERS)), regs[right], np.full(len(right), float(n[r])), n[right].astype(float))
+                out += [(min(fp[r], fp[q]), max(fp[r], fp[q])) for q in right[_keep(est, used, threshold)]]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+
+    return m.select("key", "x", "y", "i", "fp", "label", "regs", "mask", "n").groupBy("key", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     need = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
@@ -172,8 +202,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
     return j.filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
 
-def links(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signed rows, nodes, verified links between nodes that hold every component together)."""
+def links(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signed rows, nodes, verified links between nodes that hold every component together, labels of linked nodes)."""
     signed = materialize(_signed(docs, k, id_col, text_col), "sketches")
     # equal sets are one node, told by the first id that has it
     nodes = materialize(
@@ -184,38 +214,35 @@ def links(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_co
     # only keys that meet; the others are most
     met = placed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     placed = materialize(placed.join(met, "key").select("key", "fp", "c"), "bands")
-    done, label, edges = None, None, None
+    label, edges = None, None
     for r in range(PIVOT_ROUNDS + 1):
-        at = placed.withColumn("label", F.col("fp")) if label is None else placed.filter("c > 2").join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        if label is not None:
+        if label is None:
+            at = placed.withColumn("label", F.col("fp"))
+        else:
+            at = placed.filter("c > 2").join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
             mixed = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
             at = materialize(at.join(mixed, "key"), "mixed")
         if r < PIVOT_ROUNDS:
             pivot = at.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(r), "key", "fp").alias("o"), "fp", "label")).alias("p"))
             raw = at.join(pivot, "key").filter(F.col("label") != F.col("p.label")).select("fp", F.col("p.fp").alias("other"))
+            pairs = materialize(raw.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "pairs")
+            likely = _likely(pairs, nodes, percent / 100)
         else:
-            x, y = at.select("key", "fp", "label"), at.select("key", F.col("fp").alias("other"), F.col("label").alias("label2"))
-            raw = x.join(y, "key").filter(F.col("label") < F.col("label2")).select("fp", "other")
-        pairs = raw.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        likely = materialize(_likely(pairs, nodes, percent / 100), "likely")
+            likely = _likely_in_blocks(at, nodes, percent / 100)
+        likely = materialize(likely, "likely")
         if not likely.isEmpty():
             new = _verified(likely, nodes, docs, k, percent, id_col, text_col)
             edges = materialize(new if edges is None else edges.unionByName(new), "links")
             label = components(edges)
         elif edges is None:
             edges = likely
-            label = likely.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        done = pairs if done is None else done.unionByName(pairs)
-    return signed, nodes, edges
+            label = likely.select(F.col("a").alias("node"), F.col("b").alias("label"))  # no rows
+    return signed, nodes, edges, label
 
 
 def classes(docs: DataFrame, k: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, n_shingles, component_id of every row; fp and the component's first text for those with words."""
-    signed, nodes, edges = links(docs, k, percent, id_col, text_col)
-    label = components(edges)
+    signed, nodes, _, label = links(docs, k, percent, id_col, text_col)
     of = nodes.select("fp", "rep").join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     first = of.groupBy("label").agg(F.min("rep").alias("top"))
     of = of.join(first, "label").select("fp", F.col("top.doc_id").alias("top_id"), F.col("top.th").alias("top_th"))
