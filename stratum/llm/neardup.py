@@ -10,9 +10,9 @@ Jaccard similarity; pairs that are well below the threshold go, and the others a
 Copies do not make pairs: documents with equal sets are one *node*. Within a band's bucket each node is
 compared with a pivot, which differs from bucket to bucket; the links give components, and a further
 round with other pivots joins most of what is left. Only where a bucket still holds nodes of different
-components are those compared pair by pair, on their registers and in blocks of ``BLOCK`` nodes that are dealt
-to different tasks; a pair becomes a row only if its estimate is near the threshold. So no link is lost and no
-group emits all its pairs.
+components are those compared pair by pair, in blocks of ``BLOCK`` nodes that are dealt to different tasks: on
+registers first, on full sets where the estimate is near the threshold, and a link becomes a row only if it joins
+what the task has not joined yet. So no component is lost and no group emits all its pairs.
 
 Sets are never all stored: texts are read again for the nodes of candidate pairs only.
 
@@ -160,31 +160,42 @@ def _keep(est: np.ndarray, used: np.ndarray, threshold: float) -> np.ndarray:
     return est >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / used) - 2 / used
 
 
-def _likely_in_blocks(mixed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The likely pairs (a, b) of unlike label in the buckets of ``mixed`` (key, fp, label, c)."""
+def _links_in_blocks(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) between nodes of unlike label in the buckets of ``mixed`` (key, fp, label, c).
+
+    A task holds two blocks of a bucket and a link is a row only if it joins what was not joined before,
+    so a block of n nodes makes fewer than n rows.
+    """
+    threshold = percent / 100
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    m = mixed.join(nodes.select("fp", "regs", "mask", "n"), "fp").withColumn("i", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    m = mixed.join(nodes.select("fp", "regs", "mask", "n"), "fp").join(sets.select("fp", "s"), "fp").withColumn("i", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
     m = m.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
 
     def compare(pdf):
         regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1) * np.unpackbits(np.frombuffer(b"".join(pdf["mask"]), np.uint8).reshape(len(pdf), -1), axis=1)[:, :REGISTERS]
         n, i, x, y = (pdf[c].to_numpy() for c in ("n", "i", "x", "y"))
-        label, fp = pdf["label"].to_numpy(), pdf["fp"].to_numpy()
+        fp, s = pdf["fp"].to_numpy(), [np.asarray(v) for v in pdf["s"]]
+        group = pd.factorize(pdf["label"])[0]
         left, out = np.flatnonzero(i == x[0]), []
         for at, r in enumerate(left):
             right = left[at + 1 :] if x[0] == y[0] else np.flatnonzero(i == y[0])
-            right = right[(label[right] != label[r]) & (np.minimum(n[right], n[r]) >= np.maximum(n[right], n[r]) * threshold - 1e-9)]
-            if len(right):
-                est, used = estimate(np.broadcast_to(regs[r], (len(right), REGISTERS)), regs[right], np.full(len(right), float(n[r])), n[right].astype(float))
-                out += [(min(fp[r], fp[q]), max(fp[r], fp[q])) for q in right[_keep(est, used, threshold)]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+            right = right[(group[right] != group[r]) & (np.minimum(n[right], n[r]) >= np.maximum(n[right], n[r]) * threshold - 1e-9)]
+            if not len(right):
+                continue
+            est, used = estimate(np.broadcast_to(regs[r], (len(right), REGISTERS)), regs[right], np.full(len(right), float(n[r])), n[right].astype(float))
+            for q in right[_keep(est, used, threshold)]:
+                if group[q] != group[r]:
+                    both = len(np.intersect1d(s[r], s[q], assume_unique=True))
+                    if 100 * both >= percent * (len(s[r]) + len(s[q]) - both):
+                        out.append((min(fp[r], fp[q]), max(fp[r], fp[q])))
+                        group[group == group[q]] = group[r]
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    return m.select("key", "x", "y", "i", "fp", "label", "regs", "mask", "n").groupBy("key", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+    return m.select("key", "x", "y", "i", "fp", "label", "regs", "mask", "n", "s").groupBy("key", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+def _sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(fp, s): the full sets of some nodes, from their texts."""
     need = materialize(need.join(nodes.select("fp", "rep"), "fp").select("fp", F.struct(F.col("rep.doc_id").alias("doc_id")).alias("rid"), F.col("rep.th").alias("rth")), "need")
 
     def run(batches):
@@ -195,7 +206,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
 
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("rid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("rth"), F.col(text_col).alias("t"))
     texts = rows.join(broadcast_if(need, need.count(), BROADCAST_ROWS), ["rid", "rth"]).select("fp", "t")
-    sets = materialize(texts.mapInArrow(run, "fp binary, s array<long>").dropDuplicates(["fp"]), "sets")
+    return materialize(texts.mapInArrow(run, "fp binary, s array<long>").dropDuplicates(["fp"]), "sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    need = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = _sets(need, nodes, docs, k, id_col, text_col)
     side = lambda x: sets.select(F.col("fp").alias(x), F.col("s").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     j = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
@@ -226,12 +243,12 @@ def links(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_co
             pivot = at.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(r), "key", "fp").alias("o"), "fp", "label")).alias("p"))
             raw = at.join(pivot, "key").filter(F.col("label") != F.col("p.label")).select("fp", F.col("p.fp").alias("other"))
             pairs = materialize(raw.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "pairs")
-            likely = _likely(pairs, nodes, percent / 100)
+            likely = materialize(_likely(pairs, nodes, percent / 100), "likely")
         else:
-            likely = _likely_in_blocks(at, nodes, percent / 100)
-        likely = materialize(likely, "likely")
+            sets = _sets(at.select("fp").distinct(), nodes, docs, k, id_col, text_col)
+            likely = materialize(_links_in_blocks(at, nodes, sets, percent), "joined")
         if not likely.isEmpty():
-            new = _verified(likely, nodes, docs, k, percent, id_col, text_col)
+            new = _verified(likely, nodes, docs, k, percent, id_col, text_col) if r < PIVOT_ROUNDS else likely
             edges = materialize(new if edges is None else edges.unionByName(new), "links")
             label = components(edges)
         elif edges is None:

@@ -296,3 +296,12 @@ def test_topk(spark):
         got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
     assert got == {q: sorted(s)[:5] for q, s in want.items()}
     assert topk.topk(t.limit(0), t).count() == 0 and topk.topk(t, t.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_a_hot_passage(spark):
+    """Hundreds of texts share a passage and nearly reach the threshold; some chains of them do."""
+    passage = prose(60, 77)
+    rows = [(i, f"{passage} {' '.join(f'v{i}x{j}' for j in range(14 + i % 3))}") for i in range(320)]
+    rows += [(1000 + i, f"{passage} {' '.join(f'z{j}' for j in range(i, i + 16))}") for i in range(40)]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == jaccard_classes(rows, 2, 80)
