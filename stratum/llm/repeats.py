@@ -1,17 +1,19 @@
 r"""Removal of repeated byte strings: every byte covered by a ``LENGTH``-byte string that starts anywhere else too.
 
-The query finds the strings by anchors and window hashes, not by a suffix array of the corpus: see the
-README for why, and ``suffix.py`` for the external induced sorter over one shard.
+The strings are found by anchors and window hashes, not by a suffix array of the corpus; the README says why.
 
 Every window of LENGTH bytes has an *anchor*, the leftmost of its GRAM-byte strings with the smallest hash,
 so equal windows have equal anchors. The windows of a text with one anchor in common are a *run*, described
-by the anchor's hash and a hash of all its windows. Three steps, each exact and each smaller:
+by the anchor's hash and a hash of all its windows. Four steps, each exact and each smaller:
 
 1. Runs whose anchor hash is nowhere else hold no repeat and go.
 2. Runs that agree in both hashes are equal windows throughout; they are settled without looking at windows,
    so a group of copies counts as one run.
-3. What is left are the borders of repeats: runs whose anchor is known elsewhere with other surroundings.
-   Only their windows (one run for each pair of hashes) are hashed one by one, counted and joined back.
+3. What is left are the borders of repeats: runs whose anchor is known elsewhere with other surroundings, one
+   run for each pair of hashes. They are cut into *parts* of at most STEP windows that lie alike to the anchor;
+   the windows of a part share a core of LENGTH - STEP + 1 bytes. A part whose core is nowhere else holds no
+   repeat, and parts that agree in core and in all windows are settled.
+4. Only the windows of the parts that remain are counted one by one and joined back.
 
 Counts are aggregated before they are shuffled, so a passage in a third of all texts is a few rows for each
 task. Texts are told by MD5, windows by 64-bit hashes.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, materialize, table
 
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM, STEP = 400, 64, 32
 #: Bytes hashed at a time: long texts are taken in pieces that overlap by a window, short ones side by side.
 PIECE = 1 << 17
 BROADCAST_ROWS = 500_000
@@ -109,27 +111,47 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         yield of[p], idx[cut] - here[p] + first[p], sizes, h[a[cut]], _finish(body + sizes.astype(_U))
 
 
-def window_hashes(text: bytes, starts: list[int], sizes: list[int], length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
-    """Window hashes of some runs of one text."""
-    out = []
+def _slices(text: bytes, starts: list[int], sizes: list[int], length: int, gram: int):
+    """(numbers of runs, offset, gram hashes, anchors, window hashes): neighbouring runs of one text together."""
     order = sorted(range(len(starts)), key=lambda i: starts[i])
-    got: dict[int, np.ndarray] = {}
     i = 0
-    while i < len(order):  # neighbouring runs together
+    while i < len(order):
         a = starts[order[i]]
-        j, end = i, a
+        j, end = i + 1, a + sizes[order[i]]
         while j < len(order) and starts[order[j]] <= end + length and starts[order[j]] + sizes[order[j]] - a <= PIECE:
             end = max(end, starts[order[j]] + sizes[order[j]])
             j += 1
-        j = max(j, i + 1)
-        end = max(end, a + sizes[order[i]])
-        w = hashes(np.frombuffer(text[a : end + length - 1], np.uint8), length, gram)[2]
-        for k in order[i:j]:
-            got[k] = w[starts[k] - a : starts[k] - a + sizes[k]]
+        yield order[i:j], a, *hashes(np.frombuffer(text[a : end + length - 1], np.uint8), length, gram)
         i = j
-    for k in range(len(starts)):
-        out.append(got[k])
-    return out
+
+
+def window_hashes(text: bytes, starts: list[int], sizes: list[int], length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
+    """Window hashes of some runs of one text."""
+    got: dict[int, np.ndarray] = {}
+    for ks, a, _, _, w in _slices(text, starts, sizes, length, gram):
+        for k in ks:
+            got[k] = w[starts[k] - a : starts[k] - a + sizes[k]]
+    return [got[k] for k in range(len(starts))]
+
+
+def parts(text: bytes, starts: list[int], sizes: list[int], length: int = LENGTH, gram: int = GRAM):
+    """(number of the run, first window, windows, core hash, hash of all windows) of the parts of some runs of one text."""
+    core_length = length - STEP + 1
+    offsets = [*range(0, core_length - gram, gram), core_length - gram]
+    for ks, a, h, anchor, w in _slices(text, starts, sizes, length, gram):
+        for k in ks:
+            s = np.arange(starts[k] - a, starts[k] - a + sizes[k])
+            p = anchor[s[0]]
+            before = p - s
+            block = before // STEP
+            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            n = np.diff(np.r_[cut, len(s)])
+            b = block[cut]
+            core = b.astype(_U) * _ODD[61] + h[p]
+            for j, o in enumerate(offsets):
+                core = core + (h[p - STEP * b + o] ^ (h[p - STEP * b + o] >> _U(29))) * _ODD[j + 30]
+            body = np.add.reduceat(_finish(w[s] + before.astype(_U) * _ODD[60]), cut)
+            yield np.full(len(cut), k), s[cut] + a, n, _finish(core), _finish(body + n.astype(_U))
 
 
 def cut(text: bytes, starts: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[bytes, int]:
@@ -165,12 +187,28 @@ def repeated(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> D
     cand = materialize(found.join(known, "key").distinct(), "candidates")
     kinds = materialize(cand.groupBy("key", "body").agg(F.count("*").alias("same"), F.min(F.struct("tk", "a", "size")).alias("one")), "kinds")
     settled = cand.join(kinds.filter("same > 1").select("key", "body"), ["key", "body"], "left_semi").select("tk", "a", "size")
-    # anchors with different surroundings: window by window, one run of each kind
-    several = kinds.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("one.size")).alias("most")).filter("n > 1 or most > 1").select("key")
+    # anchors with different surroundings, one run of each kind; equal windows lie alike to their anchor, so
+    # no two of a run are equal, and anchors with one kind of run are settled
+    several = kinds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     border = kinds.join(several, "key").select(F.col("one.tk").alias("tk"), F.col("one.a").alias("a"), F.col("one.size").alias("size"), (F.col("same") == 1).alias("open"))
-    need = materialize(border.groupBy("tk").agg(F.collect_list(F.struct("a", "size", "open")).alias("r")), "borders")
-    keys = need.select("tk")
-    some = rows.join(broadcast_if(keys, keys.count(), BROADCAST_ROWS), "tk", "left_semi").dropDuplicates(["tk"]).join(need, "tk")
+
+    def texts_of(some: DataFrame, name: str) -> DataFrame:
+        need = materialize(some.groupBy("tk").agg(F.collect_list(F.struct("a", "size", "open")).alias("r")), name)
+        keys = need.select("tk")
+        return rows.join(broadcast_if(keys, keys.count(), BROADCAST_ROWS), "tk", "left_semi").dropDuplicates(["tk"]).join(need, "tk").select("tk", "b", "r")
+
+    def split(batches):
+        for b in batches:
+            for tk, raw, rs in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                flag = np.array([r["open"] for r in rs])
+                got = [np.concatenate(x) for x in zip(*parts(raw, [r["a"] for r in rs], [r["size"] for r in rs], length))]
+                yield pa.RecordBatch.from_arrays([pa.array([tk.as_py()] * len(got[0]), pa.binary()), pa.array(got[1], pa.int32()), pa.array(got[2], pa.int32()), pa.array(flag[got[0]]), pa.array(got[3].view(np.int64)), pa.array(got[4].view(np.int64))], ["tk", "a", "size", "open", "core", "body"])
+
+    cores = materialize(texts_of(border, "borders").mapInArrow(split, "tk binary, a int, size int, open boolean, core long, body long"), "parts")
+    sorts = materialize(cores.groupBy("core", "body").agg(F.count("*").alias("same"), F.min(F.struct("tk", "a", "size", "open")).alias("one")), "sorts")
+    alike = cores.filter("open").join(sorts.filter("same > 1").select("core", "body"), ["core", "body"], "left_semi").select("tk", "a", "size")
+    several = sorts.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    last = sorts.join(several, "core").select(F.col("one.tk").alias("tk"), F.col("one.a").alias("a"), F.col("one.size").alias("size"), ((F.col("same") == 1) & F.col("one.open")).alias("open"))
 
     def windows(batches):
         for b in batches:
@@ -181,10 +219,11 @@ def repeated(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> D
                 flag = np.repeat(np.array([r["open"] for r in rs]), n)
                 yield pa.RecordBatch.from_arrays([pa.array([tk.as_py()] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(flag), pa.array(np.concatenate(ws).view(np.int64))], ["tk", "s", "open", "w"])
 
-    seen = materialize(some.select("tk", "b", "r").mapInArrow(windows, "tk binary, s int, open boolean, w long"), "windows")
+    seen = materialize(texts_of(last, "parts-left").mapInArrow(windows, "tk binary, s int, open boolean, w long"), "windows")
     twice = seen.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
     borders = seen.filter("open").join(twice, "w").groupBy("tk").agg(F.sort_array(F.collect_list("s")).alias("s"))
     borders = borders.select("tk", F.transform("s", lambda s: F.struct(s.alias("a"), F.lit(1).alias("size"))).alias("runs"))
+    settled = settled.unionByName(alike)
     inside = settled.groupBy("tk").agg(F.collect_list(F.struct("a", "size")).alias("runs"))
     both = inside.unionByName(borders).groupBy("tk").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     # every window of a text with copies is a repeat: no runs, told by ``whole``
