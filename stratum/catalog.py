@@ -229,11 +229,10 @@ mem AS (SELECT p AS point, cluster, 1.0::DOUBLE AS membership, true AS core FROM
 pts AS (SELECT {points})"""
 
 
-def cosine_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = table(spark, sf_dir, "embeddings").filter("vec_id < 500").select("vec_id", F.col("embedding").alias("e"))
-    q = v.select(F.col("vec_id").alias("a"), F.col("e").alias("ea"))
-    e = q.join(F.broadcast(v.select(F.col("vec_id").alias("b"), F.col("e").alias("eb"))), F.col("a") < F.col("b")).select("a", "b", F.round(vectors.cosine(F.col("ea"), F.col("eb")), 9).alias("sim"))
-    return v.select(F.col("vec_id").alias("point")), clustering.cut_lineage(e)
+def cosine_edges(spark: SparkSession, sf_dir: str, least: float = _SIM) -> tuple[DataFrame, DataFrame]:
+    """All vectors as points, and all pairs of them with a cosine of ``least`` or more."""
+    v = table(spark, sf_dir, "embeddings")
+    return v.select(F.col("vec_id").alias("point")), clustering.cut_lineage(vectors.similar_pairs(v, least, "vec_id", "embedding"))
 
 
 _COS = _fdb_sql(_EDGES, "vec_id AS point FROM v", str(_SIM), str(_MU))
@@ -279,7 +278,7 @@ def fdbscan_auto(spark, sf_dir):
 
 @query()
 def fdbscan_sweep(spark, sf_dir):
-    p, e = cosine_edges(spark, sf_dir)
+    p, e = cosine_edges(spark, sf_dir, _SIM * min(clustering.FACTORS))
     cols = ("noise_rate", "max_fuzzy", "border_rate", "score", "core_ratio", "multi_border", "entropy")
     out = clustering.sweep(p, e, clustering.grid(spark, _SIM, _MU))
     return out.select("candidate", "clusters", *[F.round(c, 6).alias(c) for c in cols])

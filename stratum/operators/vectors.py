@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,64 @@ def vector_rank_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+#: Vectors in a block, and rows of a block that are multiplied at once.
+BLOCK, TILE = 4096, 512
+
+
+def _block_pairs(vectors: DataFrame, run, schema: str) -> DataFrame:
+    """``run(a, b, same)`` on the rows of every two blocks, each two once; ``same``: both are one block.
+
+    ``vectors``: id, vec and more; rows without an id or a vector take no part. Blocks are dealt by a hash of the id.
+    """
+    v = vectors.filter("id is not null and vec is not null")
+    blocks = max(1, -(-v.count() // BLOCK))
+    own = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    put = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    put = put.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
+
+    def both(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = key
+        return run(pdf[pdf["block"] == x], pdf[pdf["block"] == y], x == y)
+
+    return put.groupBy("x", "y").applyInPandas(both, schema)
+
+
+def _tiles(a: pd.DataFrame, b: pd.DataFrame, same: bool):
+    """(rows of a, cosines with all rows of b, mask of pairs of unlike ids that are met here first), tile by tile."""
+    if a["vec"].map(len).nunique() > 1 or not set(a["vec"].map(len)) >= set(b["vec"].map(len)):
+        raise ValueError("vectors differ in size")
+    va, vb = (np.array([np.asarray(x, np.float64) for x in d["vec"]]) for d in (a, b))
+    la, lb = (np.sqrt(np.cumsum(v * v, 1)[:, -1]) for v in (va, vb))
+    ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+    for i in range(0, len(va), TILE):
+        n = la[i : i + TILE, None] * lb
+        s = np.divide(va[i : i + TILE] @ vb.T, n, out=np.zeros_like(n), where=n != 0)
+        ok = ia[i : i + TILE, None] != ib
+        if same:
+            ok &= np.arange(i, i + len(ok))[:, None] < np.arange(len(vb))
+        yield i, s, ok, (va, vb, la, lb, ia, ib)
+
+
+def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "vec", digits: int = 9) -> DataFrame:
+    """(a, b, sim), a < b, of all pairs of vectors whose cosine is ``least`` or more, compared in blocks."""
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    kind = dict(v.dtypes)["id"]
+
+    def run(a, b, same):
+        out = [pd.DataFrame({"a": a["id"][:0], "b": a["id"][:0], "sim": np.zeros(0)})]
+        for i, s, ok, (va, vb, la, lb, ia, ib) in _tiles(a, b, same) if len(a) and len(b) else ():
+            p, q = np.nonzero(ok & (s >= least - 1e-6))
+            p += i
+            # once more in the order of the components, so that the last digit is that of ``cosine``
+            x = np.zeros(len(p))
+            for k in range(va.shape[1]):
+                x += va[p, k] * vb[q, k]
+            out.append(pd.DataFrame({"a": np.minimum(ia[p], ib[q]), "b": np.maximum(ia[p], ib[q]), "sim": x / (la[p] * lb[q])}))
+        return pd.concat(out)
+
+    return _block_pairs(v, run, f"a {kind}, b {kind}, sim double").withColumn("sim", F.round("sim", digits)).filter(F.col("sim") >= round(least, 12))
+
+
 def load_vectors(raw: DataFrame, meta: DataFrame, id_col: str, vec_col: str, kind_col: str | None = None) -> dict[str, DataFrame]:
     """Vectors by kind, without those of another size than the metadata row says; none if there is no such row."""
     row = meta.select("dim").first()
