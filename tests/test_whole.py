@@ -65,3 +65,25 @@ def test_clustering_takes_all_vectors(spark, folder, monkeypatch):
     for i, a in enumerate(catalog.clustering.FACTORS):
         m = brute_fdbscan(ids, cosines(rows), round(catalog._SIM * a, 12), round(catalog._MU, 12))
         assert abs(sweep[i * 4 + 1]["noise_rate"] - (1 - len({k[0] for k in m}) / len(ids))) < 1e-6
+
+
+def test_lm_teaches_every_place():
+    from stratum.llm import lm
+
+    rng = np.random.default_rng(2)
+    counts = np.r_[rng.integers(1, 90, 60), np.zeros(40, np.int64), 30]
+    m = lm.Model(counts)
+    m.w[: lm.NODES] = rng.standard_normal((lm.NODES, 3 * lm.D)).astype(np.float32)
+    seqs = [np.r_[rng.integers(0, 60, k), 100] for k in (0, 1, 15, 16, 31, 40, 47, 100)]
+    win, y = lm.training_windows(m, seqs)
+    assert sorted(y[y >= 0]) == sorted(np.concatenate(seqs))  # each once
+    loss, grads, n = m.gradients(win, y)
+    assert n == sum(map(len, seqs))
+    for name, i in (("w", (3, 5)), ("w", (70, 20)), ("ev", (2, 1)), ("ek", (4, 3)), ("eq", (5, 2)), ("ep", (1, 1)), ("es", (7, 6)), ("far", (3,)), ("b", (2,))):
+        x, e = getattr(m, name), 1e-2
+        keep, at = x[i], []
+        for d in (e, -e):
+            x[i] = keep + d
+            at.append(m.gradients(win, y)[0] * n)
+        x[i] = keep
+        assert abs((at[0] - at[1]) / (2 * e) - grads[name][i]) < 2e-2 * max(1, abs(grads[name][i])), name
