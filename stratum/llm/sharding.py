@@ -60,28 +60,43 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(c: Column, kind: str) -> Column:
-    """A number in the order of the values: strings by their first 7 UTF-8 bytes."""
+def _value(c: Column, kind: str) -> Column:
+    """A value in the order of the column: strings and binaries as they are, others as numbers."""
     if kind in ("string", "binary"):
-        b = F.encode(c, "utf-8") if kind == "string" else c
-        return F.conv(F.rpad(F.hex(F.substring(b, 1, 7)), 14, "0"), 16, 10).cast("long").cast("double")
+        return c
     if kind in ("date", "timestamp"):
         return F.unix_timestamp(c.cast("timestamp")).cast("double")
     return c.cast("double")
 
 
+def _string_edges(rows: DataFrame, c: str, probs: list[float]) -> list:
+    """Exact quantiles of a column by whole values: running counts over the sorted values, range by range."""
+    by = materialize(rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(c).withColumn("part", F.spark_partition_id()), "values")
+    before, total = {}, 0
+    for part, n in sorted((r["part"], r["n"]) for r in by.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        before[part] = total
+        total += n
+    if not total:
+        return []
+    start = F.element_at(F.create_map(*[F.lit(x).cast(t) for k, v in before.items() for x, t in ((k, "int"), (v, "long"))]), F.col("part"))
+    upto = start + F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return list(by.withColumn("upto", upto).agg(*[F.min(F.when(F.col("upto") >= p * total, F.col(c))).alias(f"q{i}") for i, p in enumerate(probs)]).first())
+
+
 def _cells(rows: DataFrame, dims: int, bits: int) -> Column:
     """The cell number of a row with columns d0, d1, ...: its quantised dimensions side by side."""
     cuts = (1 << bits) - 1
     probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    # quantiles of a bounded sketch: ``cuts`` numbers for each dimension
-    got = rows.agg(*[F.percentile_approx(f"d{i}", probs, 10_000).alias(f"d{i}") for i in range(dims)]).first()
+    kinds = dict(rows.dtypes)
+    numeric = [f"d{i}" for i in range(dims) if kinds[f"d{i}"] == "double"]
+    # quantiles of a bounded sketch for numbers: ``cuts`` of them for each dimension
+    got = rows.agg(*[F.percentile_approx(c, probs, 10_000).alias(c) for c in numeric]).first().asDict() if numeric else {}
     cell = F.lit(0)
     for i in range(dims):
-        edges = sorted(set(got[i] or []))
+        edges = sorted(set((got[f"d{i}"] if f"d{i}" in got else _string_edges(rows, f"d{i}", probs)) or []), key=lambda e: e.encode() if isinstance(e, str) else e)
         at = F.lit(0)
         for e in edges:  # nulls compare to null, and count as below every edge
-            at = at + F.coalesce((F.col(f"d{i}") >= e).cast("int"), F.lit(0))
+            at = at + F.coalesce((F.col(f"d{i}") >= F.lit(e)).cast("int"), F.lit(0))
         cell = cell * (1 << bits) + at
     return cell
 
@@ -91,7 +106,7 @@ def _numbers(docs: DataFrame, dimensions, id_col: str, text_col: str) -> list[Co
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
     return [
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        *[_number(F.col(c), kinds[c]).alias(f"d{i}") for i, c in enumerate(dimensions)],
+        *[_value(F.col(c), kinds[c]).alias(f"d{i}") for i, c in enumerate(dimensions)],
     ]
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratum import catalog
 from stratum.operators import vectors
@@ -87,3 +88,18 @@ def test_lm_teaches_every_place():
             at.append(m.gradients(win, y)[0] * n)
         x[i] = keep
         assert abs((at[0] - at[1]) / (2 * e) - grads[name][i]) < 2e-2 * max(1, abs(grads[name][i])), name
+
+
+def test_shards_tell_long_strings_apart(spark):
+    from stratum.llm import sharding
+
+    names = [f"https://example.org/{k}" for k in range(4)] + [f"source_{k}" for k in range(4)]
+    d = spark.createDataFrame([(i, "some text", names[i % 8], None if i % 9 == 0 else names[i % 8].encode()) for i in range(160)], "doc_id long, text string, source string, raw binary")
+    for c in ("source", "raw"):
+        got = {}
+        for r in sharding.assign(d, (c,), shards=8).join(d.select("doc_id", F.col(c).alias("v")), "doc_id").collect():
+            got.setdefault(r["v"], set()).add(r["cell"])
+        got.pop(None, None)
+        assert all(len(x) == 1 for x in got.values())
+        cells = [got[x].pop() for x in sorted(got)]
+        assert cells == sorted(cells) and len(set(cells)) == 8
