@@ -41,8 +41,14 @@ def vector_rank_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
 
     The queries, a stated set, go to every task; each keeps its best k before the shuffle.
     """
-    j = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(F.broadcast(queries), F.lit(True))
-    s = j.select("query_id", "id", F.round(cosine(F.col("v"), F.col("query_vec")), digits).alias("score"))
+    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    # lengths once a vector, not once a pair
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).withColumn("lv", length("v"))
+    j = v.join(F.broadcast(queries.withColumn("lq", length("query_vec"))), F.lit(True))
+    n = F.col("lv") * F.col("lq")
+    value = F.when(n == 0, 0.0).otherwise(dot(F.col("v"), F.col("query_vec")) / n)
+    value = F.when(F.size("v") == F.size("query_vec"), value).otherwise(F.raise_error(F.lit("vectors differ in size")).cast("double"))
+    s = j.select("query_id", "id", F.round(value, digits).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -105,6 +111,29 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col:
     return _block_pairs(v, run, f"a {kind}, b {kind}, sim double").withColumn("sim", F.round("sim", digits)).filter(F.col("sim") >= round(least, 12))
 
 
+def pair_similarity_by_label(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, digits: int = 6) -> DataFrame:
+    """(category, pairs, mean_sim, min_sim, max_sim) over all ordered pairs of unlike ids; category: whether the labels are equal."""
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).cast("string").alias("label"))
+
+    def run(a, b, same):
+        out = []
+        for i, s, ok, _ in _tiles(a, b, same) if len(a) and len(b) else ():
+            la, lb = a["label"].to_numpy(object)[i : i + len(s)], b["label"].to_numpy(object)
+            none = pd.isna(la)[:, None] | pd.isna(lb)
+            equal = la[:, None] == lb
+            for category, mask in ((True, ok & ~none & equal), (False, ok & ~none & ~equal), (None, ok & none)):
+                x = s[mask]
+                if len(x):
+                    out.append((category, len(x), x.sum(), x.min(), x.max()))
+        return pd.DataFrame(out, columns=["category", "n", "total", "low", "high"])
+
+    parts = _block_pairs(v, run, "category boolean, n long, total double, low double, high double")
+    n = F.sum("n")
+    return parts.groupBy("category").agg(
+        (2 * n).alias("pairs"), F.round(F.sum("total") / n, digits).alias("mean_sim"), F.round(F.round(F.min("low"), 9), digits).alias("min_sim"), F.round(F.round(F.max("high"), 9), digits).alias("max_sim")
+    )
+
+
 def load_vectors(raw: DataFrame, meta: DataFrame, id_col: str, vec_col: str, kind_col: str | None = None) -> dict[str, DataFrame]:
     """Vectors by kind, without those of another size than the metadata row says; none if there is no such row."""
     row = meta.select("dim").first()

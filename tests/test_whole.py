@@ -103,3 +103,20 @@ def test_shards_tell_long_strings_apart(spark):
         assert all(len(x) == 1 for x in got.values())
         cells = [got[x].pop() for x in sorted(got)]
         assert cells == sorted(cells) and len(set(cells)) == 8
+
+
+def test_searches_and_pairs_take_all_vectors(spark, folder, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    d, rows = folder
+    s = cosines(rows)
+    ids, label = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    same, other = label[:, None] == label, ids[:, None] != ids
+    got = {r["category"]: r for r in catalog.pair_cosine_by_category(spark, d).collect()}
+    for c in (True, False):
+        x = s[other & (same == c)]
+        assert got[c]["pairs"] == len(x) and all(abs(got[c][k] - v) < 2e-6 for k, v in (("mean_sim", x.mean()), ("min_sim", x.min()), ("max_sim", x.max())))
+    top = {}
+    for r in catalog.vec_topk_batch(spark, d).orderBy("query_id", "rank").collect():
+        top.setdefault(r["query_id"], []).append(r["id"])
+    want = {int(i): [int(ids[j]) for j in sorted(range(len(ids)), key=lambda j: (-s[k, j], ids[j]))[:10]] for k, i in enumerate(ids) if i % 50 == 0}
+    assert len(want) > 4 and top == want
