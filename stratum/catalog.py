@@ -471,7 +471,7 @@ def insert_or_ignore(spark, sf_dir):
 @query("SELECT CAST(coalesce(c.c_custkey, n.o_custkey) AS BIGINT) AS id, CASE WHEN n.o_custkey IS NOT NULL THEN n.t ELSE c.c_acctbal END AS value FROM customer c FULL JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) n ON c.c_custkey = n.o_custkey")
 def upsert_latest(spark, sf_dir):
     t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
-    return state.upsert(t, table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("value")), ["id"])
+    return state.upsert(t, table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("value")), ["id"])
 
 
 @query("""WITH e AS (SELECT p_partkey AS entity_id, p_brand AS type, p_name AS surface FROM part WHERE p_partkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) = 1),

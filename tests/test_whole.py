@@ -120,3 +120,10 @@ def test_searches_and_pairs_take_all_vectors(spark, folder, monkeypatch):
         top.setdefault(r["query_id"], []).append(r["id"])
     want = {int(i): [int(ids[j]) for j in sorted(range(len(ids)), key=lambda j: (-s[k, j], ids[j]))[:10]] for k, i in enumerate(ids) if i % 50 == 0}
     assert len(want) > 4 and top == want
+
+
+def test_upsert_takes_all_orders(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0)], "c_custkey long, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(5, 1, 10.0), (6, 1, 90.0), (7, 2, 30.0), (8, 4, 40.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{d}/orders.parquet")
+    assert {r["id"]: r["value"] for r in catalog.upsert_latest(spark, d).collect()} == {1: 90.0, 2: 30.0, 3: 7.0, 4: 40.0}
