@@ -6,7 +6,7 @@ every position in code points, so no text leaves the JVM.
 
 The base spans are seeds. Each seed, and each other identifier-like string (a *candidate*), has
 patterns: the two words before it, and the word before with the word after. On the graph of patterns
-and instances Spark repeats ``ROUNDS`` times: a pattern's confidence in a kind is the mean score of its
+and instances Spark repeats, until a round accepts nothing new and scores stand still: a pattern's confidence in a kind is the mean score of its
 instances, if they support it with ``SUPPORT`` at least; a candidate's score is the noisy-or of its
 patterns. Candidates at ``CONFIDENT`` or more that stand in a pattern of ``PRECISE`` or more, and look
 like the kind, are added as spans.
@@ -43,7 +43,9 @@ LOOKS = {
     "card": r"^(?:[0-9][\x20-]?){13,19}$",
     "phone": r"^\+?(?:[0-9][\x20().-]{0,2}){7,15}$",
 }
-ROUNDS, SUPPORT, PRECISE, CONFIDENT = 2, 3.0, 0.8, 0.9
+SUPPORT, PRECISE, CONFIDENT = 3.0, 0.8, 0.9
+#: Rounds before an error, and the rise of all scores together that counts as none.
+MOST_ROUNDS, STILL = 100, 1e-4
 _SPAN = "array<struct<k:int,s:int,e:int>>"
 
 
@@ -104,7 +106,8 @@ def _graph(seen: DataFrame) -> DataFrame:
     count = edges.select("p", "i").distinct().groupBy("p").agg(F.count("*").alias("n"))
     seeds = edges.filter("k >= 0").select("i", "k", F.lit(1.0).alias("score")).distinct()
     score, patterns, cands = seeds, None, edges.filter("k < 0").select("p", "i")
-    for r in range(ROUNDS):
+    last = None
+    for _ in range(MOST_ROUNDS):
         patterns = (
             edges.select("p", "i").distinct().join(score, "i").groupBy("p", "k").agg(F.sum("score").alias("support"))
             .join(count, "p").select("p", "k", "support", (F.col("support") / F.col("n")).alias("conf")).filter(F.col("support") >= SUPPORT)
@@ -116,6 +119,16 @@ def _graph(seen: DataFrame) -> DataFrame:
         log = F.sum(F.log(1 - F.least(F.col("conf"), F.lit(0.999))))
         found = cands.join(patterns, "p").filter(fit).groupBy("i", "k").agg((1 - F.exp(log)).alias("score"))
         score = materialize(seeds.unionByName(found.join(seeds.select("i", "k"), ["i", "k"], "left_anti")), "scores")
+        # scores only rise from round to round, so equal counts are equal sets
+        now = [
+            *patterns.agg(F.count("*"), F.count(F.when(F.col("conf") >= PRECISE, 1))).first(),
+            *score.agg(F.count("*"), F.count(F.when(F.col("score") >= CONFIDENT, 1)), F.coalesce(F.sum("score"), F.lit(0.0))).first(),
+        ]
+        if last and now[:4] == last[:4] and now[4] - last[4] < STILL:
+            break
+        last = now
+    else:
+        raise RuntimeError("extraction did not converge")
     # one kind for each instance: the best, then the first listed
     best = score.join(seeds.select("i").distinct(), "i", "left_anti").filter(F.col("score") >= CONFIDENT)
     best = best.groupBy("i").agg(F.min(F.struct((-F.col("score")).alias("o"), "k")).alias("b")).select("i", F.col("b.k").alias("kind"))

@@ -127,3 +127,22 @@ def test_upsert_takes_all_orders(spark, tmp_path):
     spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0)], "c_custkey long, c_acctbal double").write.parquet(f"{d}/customer.parquet")
     spark.createDataFrame([(5, 1, 10.0), (6, 1, 90.0), (7, 2, 30.0), (8, 4, 40.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{d}/orders.parquet")
     assert {r["id"]: r["value"] for r in catalog.upsert_latest(spark, d).collect()} == {1: 90.0, 2: 30.0, 3: 7.0, 4: 40.0}
+
+
+def test_pii_goes_on_until_nothing_is_new(spark, monkeypatch):
+    from stratum.llm import pii
+
+    def luhn(n):
+        return str(n) + next(str(c) for c in range(10) if sum(x if i % 2 == 0 else (x * 2 - 9 if x > 4 else x * 2) for i, x in enumerate([c, *map(int, reversed(str(n)))])) % 10 == 0)
+
+    seeds = [luhn(411111111111000 + i) for i in range(8)]
+    far = [[str(4000000000001 + 10 * k + i) for i in range(4)] for k in range(4)]
+    text = ["one first {} next", "two second {} after", "three third {} then", "four fourth {} last"]
+    rows = [text[0].format(s) for s in seeds] + [text[0].format(x) for x in far[0]]
+    for k in (1, 2, 3):
+        rows += [text[k].format(x) for x in far[k - 1] + far[k]]
+    got = {r["doc_id"] for r in pii.extract(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect() if r["added"]}
+    assert {i for i, t in enumerate(rows) if any(x in t for x in far[3])} <= got
+    monkeypatch.setattr(pii, "MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="converge"):
+        pii.extract(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
