@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,13 @@ def words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A session that names none gets a local one, as in tests."""
+    """The folder all executors share. A local session that names none gets one, as in tests; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,13 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back.
 
-    Survives lost executors, and later plans know its size. Removed when the session ends.
+    Survives lost executors, and later plans know its size. Removed by ``discard``, or when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratum-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Removes tables that ``materialize`` wrote and no later plan reads, and the shuffle files that made them.
+
+    Spark removes shuffle files when the driver collects its garbage, so that is asked for.
+    """
+    spark = None
+    for df in stored:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            _remove(spark, path)
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -8,11 +8,12 @@ keys under which documents meet (a pair at the threshold of 0.8 misses all bands
 Jaccard similarity; pairs that are well below the threshold go, and the others are verified on full sets.
 
 Copies do not make pairs: documents with equal sets are one *node*. Within a band's bucket each node is
-compared with a pivot, which differs from bucket to bucket; the links give components, and a further
-round with other pivots joins most of what is left. Only where a bucket still holds nodes of different
-components are those compared pair by pair, in blocks of ``BLOCK`` nodes that are dealt to different tasks: on
-registers first, on full sets where the estimate is near the threshold, and a link becomes a row only if it joins
-what the task has not joined yet. So no component is lost and no group emits all its pairs.
+compared with a pivot, which differs from bucket to bucket, and verified with the best of its pivots; the links
+give components, and a further round with other pivots joins most of what is left. Only where a bucket still
+holds nodes of different components are those compared pair by pair, in blocks of ``BLOCK`` nodes that are dealt
+to different tasks: registers first, and then full sets of the nodes that an estimate puts near the threshold. A
+link becomes a row only if it joins what the task has not joined yet. So no component is lost and no group emits
+all its pairs.
 
 Sets are never all stored: texts are read again for the nodes of candidate pairs only.
 
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize, table
+from .common import broadcast_if, discard, materialize, table
 from .graph import components
 
 REGISTERS, ROWS, MANTISSA = 252, 6, 10
@@ -134,24 +135,27 @@ def _signed(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose estimate does not rule them out."""
+    """(a, b, est): the pairs whose estimate does not rule them out."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             c = lambda i: np.array(b.column(i).to_pylist(), float)
-            rows = lambda i, kind: np.frombuffer(b"".join(b.column(i).to_pylist()), kind).reshape(b.num_rows, -1)
-            bits = lambda i: np.unpackbits(rows(i, np.uint8), axis=1)[:, :REGISTERS]
-            est, used = estimate(rows(2, np.uint16) * bits(3), rows(5, np.uint16) * bits(6), c(4), c(7))
-            keep = _keep(est, used, threshold)
-            t = pa.Table.from_batches([b.select([0, 1])]).filter(pa.array(keep))
-            yield from t.to_batches()
+            est, used = estimate(_registers(b.column(2).to_pylist(), b.column(3).to_pylist()), _registers(b.column(5).to_pylist(), b.column(6).to_pylist()), c(4), c(7))
+            keep = pa.array(_keep(est, used, threshold))
+            yield from pa.table([b.column(0), b.column(1), pa.array(est)], ["a", "b", "est"]).filter(keep).to_batches()
 
     side = lambda x: nodes.select(F.col("fp").alias(x), F.col("regs").alias(f"r{x}"), F.col("mask").alias(f"m{x}"), F.col("n").alias(f"n{x}"))
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     j = j.filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9)
-    return j.select("a", "b", "ra", "ma", "na", "rb", "mb", "nb").mapInArrow(run, "a binary, b binary")
+    return j.select("a", "b", "ra", "ma", "na", "rb", "mb", "nb").mapInArrow(run, "a binary, b binary, est double")
+
+
+def _registers(filled_rows, masks) -> np.ndarray:
+    """Register rows, 0 where a bucket is empty."""
+    n = len(filled_rows)
+    return np.frombuffer(b"".join(filled_rows), np.uint16).reshape(n, -1) * np.unpackbits(np.frombuffer(b"".join(masks), np.uint8).reshape(n, -1), axis=1)[:, :REGISTERS]
 
 
 def _keep(est: np.ndarray, used: np.ndarray, threshold: float) -> np.ndarray:
@@ -160,30 +164,76 @@ def _keep(est: np.ndarray, used: np.ndarray, threshold: float) -> np.ndarray:
     return est >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / used) - 2 / used
 
 
-def _links_in_blocks(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) between nodes of unlike label in the buckets of ``mixed`` (key, fp, label, c).
-
-    A task holds two blocks of a bucket and a link is a row only if it joins what was not joined before,
-    so a block of n nodes makes fewer than n rows.
+class _Block:
+    """The rows of one task: two blocks of a large bucket, or some small buckets, in the order of their keys."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.rows = pdf = pdf.sort_values(["key", "fp"], ignore_index=True)
+        self.bands = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), BANDS, ROWS)
+        self.regs = _registers(pdf["regs"], pdf["mask"])
+        self.n, self.i, self.x, self.y, self.band, key = (pdf[c].to_numpy() for c in ("n", "i", "x", "y", "band", "key"))
+        self.group = pd.factorize(pdf["label"])[0]
+        self.cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(pdf)]
+
+    def near(self, threshold: float):
+        """(row, rows): the pairs of a bucket that are of unlike group and not ruled out.
+
+        A pair that also meets under an earlier band is left to that band's bucket. ``group`` may change meanwhile.
+        """
+        n, regs, group = self.n, self.regs, self.group
+        for start, end in zip(self.cut[:-1], self.cut[1:]):
+            at = np.arange(start, end)
+            one = self.x[start] == self.y[start]
+            left, second = at[self.i[at] == self.x[start]], at[self.i[at] == self.y[start]]
+            for k, r in enumerate(left):
+                right = left[k + 1 :] if one else second
+                right = right[(group[right] != group[r]) & (np.minimum(n[right], n[r]) >= np.maximum(n[right], n[r]) * threshold - 1e-9)]
+                if not len(right):
+                    continue
+                other = regs[right]
+                same, used = ((other == regs[r]) & (other > 0)).sum(1), ((other > 0) | (regs[r] > 0)).sum(1)
+                right = right[_keep(same / np.maximum(used, 1), used, threshold)]  # the correction only lowers an estimate
+                if len(right):
+                    est, used = estimate(np.broadcast_to(regs[r], (len(right), REGISTERS)), regs[right], np.full(len(right), float(n[r])), n[right].astype(float))
+                    met = (self.bands[right, : self.band[r]] == self.bands[r, : self.band[r]]).all(2).any(1)
+                    right = right[_keep(est, used, threshold) & ~met]
+                if len(right):
+                    yield r, right
+
+
+def _links_in_blocks(mixed: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Verified links (a, b) between nodes of unlike label in the buckets of ``mixed`` (key, band, fp, label, c).
+
+    A task holds two blocks of a bucket of more than BLOCK nodes, or some smaller buckets. Registers alone are dealt
+    to all of them; full sets follow only for the nodes that are near another one there. A link is a row only if it
+    joins what was not joined before, so a block of n nodes makes fewer than n rows.
     """
     threshold = percent / 100
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    m = mixed.join(nodes.select("fp", "regs", "mask", "n"), "fp").join(sets.select("fp", "s"), "fp").withColumn("i", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    lanes = mixed.filter(F.col("c") <= BLOCK).count() // (4 * BLOCK) + 1
+    m = mixed.join(nodes.select("fp", "regs", "mask", "n"), "fp").withColumn("i", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
     m = m.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
+    m = m.withColumn("pack", F.when(F.col("c") <= BLOCK, F.pmod(F.xxhash64("key"), F.lit(lanes))).otherwise(F.col("key")))
+    names = ["pack", "key", "x", "y", "band", "i", "fp", "label", "regs", "mask", "n"]
+    kinds = "pack long, key long, x int, y int, band int, i int, fp binary, label binary, regs binary, mask binary, n long"
+
+    def close(pdf):
+        block = _Block(pdf)
+        some = np.zeros(len(pdf), bool)
+        for r, right in block.near(threshold):
+            some[r] = True
+            some[right] = True
+        return block.rows[some]
+
+    few = materialize(m.select(*names).groupBy("pack", "x", "y").applyInPandas(close, kinds), "close")
+    sets = _sets(few.select("fp").distinct(), nodes, docs, k, id_col, text_col)
 
     def compare(pdf):
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1) * np.unpackbits(np.frombuffer(b"".join(pdf["mask"]), np.uint8).reshape(len(pdf), -1), axis=1)[:, :REGISTERS]
-        n, i, x, y = (pdf[c].to_numpy() for c in ("n", "i", "x", "y"))
-        fp, s = pdf["fp"].to_numpy(), [np.asarray(v) for v in pdf["s"]]
-        group = pd.factorize(pdf["label"])[0]
-        left, out = np.flatnonzero(i == x[0]), []
-        for at, r in enumerate(left):
-            right = left[at + 1 :] if x[0] == y[0] else np.flatnonzero(i == y[0])
-            right = right[(group[right] != group[r]) & (np.minimum(n[right], n[r]) >= np.maximum(n[right], n[r]) * threshold - 1e-9)]
-            if not len(right):
-                continue
-            est, used = estimate(np.broadcast_to(regs[r], (len(right), REGISTERS)), regs[right], np.full(len(right), float(n[r])), n[right].astype(float))
-            for q in right[_keep(est, used, threshold)]:
+        block = _Block(pdf.drop_duplicates(["key", "fp"]))
+        fp, s, group = block.rows["fp"].to_numpy(), [np.asarray(v) for v in block.rows["s"]], block.group
+        out = []
+        for r, right in block.near(threshold):
+            for q in right:
                 if group[q] != group[r]:
                     both = len(np.intersect1d(s[r], s[q], assume_unique=True))
                     if 100 * both >= percent * (len(s[r]) + len(s[q]) - both):
@@ -191,22 +241,29 @@ def _links_in_blocks(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percen
                         group[group == group[q]] = group[r]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return m.select("key", "x", "y", "i", "fp", "label", "regs", "mask", "n", "s").groupBy("key", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+    found = materialize(few.join(sets, "fp").select(*names, "s").groupBy("pack", "x", "y").applyInPandas(compare, "a binary, b binary").distinct(), "joined")
+    discard(few, sets)
+    return found
 
 
 def _sets(need: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(fp, s): the full sets of some nodes, from their texts."""
+    """(fp, s): the full sets of some nodes, from their texts. A row that is there several times may give some alike."""
     need = materialize(need.join(nodes.select("fp", "rep"), "fp").select("fp", F.struct(F.col("rep.doc_id").alias("doc_id")).alias("rid"), F.col("rep.th").alias("rth")), "need")
 
     def run(batches):
-        seen = _Words()
+        seen, given = _Words(), set()
         for b in batches:
-            sets = [shingle_set(t, k, seen).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+            fresh = [i for i, f in enumerate(b.column(0).to_pylist()) if not (f in given or given.add(f))]
+            if fresh:
+                b = b.take(pa.array(fresh))
+                sets = [shingle_set(t, k, seen).view(np.int64) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("rid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("rth"), F.col(text_col).alias("t"))
     texts = rows.join(broadcast_if(need, need.count(), BROADCAST_ROWS), ["rid", "rth"]).select("fp", "t")
-    return materialize(texts.mapInArrow(run, "fp binary, s array<long>").dropDuplicates(["fp"]), "sets")
+    sets = materialize(texts.mapInArrow(run, "fp binary, s array<long>"), "sets")
+    discard(need)
+    return sets
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -216,7 +273,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
     side = lambda x: sets.select(F.col("fp").alias(x), F.col("s").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     j = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-    return j.filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
+    found = materialize(j.filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified")
+    discard(sets)
+    return found
 
 
 def links(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -227,33 +286,39 @@ def links(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_co
         signed.filter("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("rep"), F.first("regs").alias("regs"), F.first("mask").alias("mask"), F.first("n").alias("n")), "nodes"
     )
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    placed = nodes.select("fp", F.explode(band).alias("key"))
+    placed = nodes.select("fp", F.posexplode(band).alias("band", "key"))
     # only keys that meet; the others are most
     met = placed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    placed = materialize(placed.join(met, "key").select("key", "fp", "c"), "bands")
-    label, edges = None, None
+    placed = materialize(placed.join(met, "key").select("key", "band", "fp", "c"), "bands")
+    label = edges = done = None
     for r in range(PIVOT_ROUNDS + 1):
         if label is None:
             at = placed.withColumn("label", F.col("fp"))
         else:
-            at = placed.filter("c > 2").join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-            mixed = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
+            at = placed.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+            mixed = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("c").alias("n")).filter("l0 <> l1")
+            # a bucket of two that have been compared holds nothing more
+            mixed = mixed.join(done.withColumn("n", F.lit(2).cast("long")), ["a", "b", "n"], "left_anti").select("key")
             at = materialize(at.join(mixed, "key"), "mixed")
-        if r < PIVOT_ROUNDS:
+        if r == PIVOT_ROUNDS:
+            new = _links_in_blocks(at, nodes, docs, k, percent, id_col, text_col)
+        else:
             pivot = at.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(r), "key", "fp").alias("o"), "fp", "label")).alias("p"))
-            raw = at.join(pivot, "key").filter(F.col("label") != F.col("p.label")).select("fp", F.col("p.fp").alias("other"))
-            pairs = materialize(raw.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "pairs")
+            pairs = materialize(at.join(pivot, "key").filter(F.col("label") != F.col("p.label")).select(F.col("fp").alias("a"), F.col("p.fp").alias("b")).distinct(), "pairs")
             likely = materialize(_likely(pairs, nodes, percent / 100), "likely")
-        else:
-            sets = _sets(at.select("fp").distinct(), nodes, docs, k, id_col, text_col)
-            likely = materialize(_links_in_blocks(at, nodes, sets, percent), "joined")
-        if not likely.isEmpty():
-            new = _verified(likely, nodes, docs, k, percent, id_col, text_col) if r < PIVOT_ROUNDS else likely
-            edges = materialize(new if edges is None else edges.unionByName(new), "links")
-            label = components(edges)
-        elif edges is None:
-            edges = likely
-            label = likely.select(F.col("a").alias("node"), F.col("b").alias("label"))  # no rows
+            # a node is verified with its best pivot only; what that leaves apart meets again
+            best = materialize(likely.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "best")
+            new = _verified(best, nodes, docs, k, percent, id_col, text_col)
+            undirected = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            over = undirected(pairs.join(likely.select("a", "b"), ["a", "b"], "left_anti").unionByName(best))
+            before, done = done, materialize((over if done is None else over.unionByName(done)).distinct(), "done")
+            discard(pairs, likely, best, *([before] if before is not None else []))
+        if label is not None:
+            discard(at)
+        before, edges = edges, materialize(new if edges is None else edges.unionByName(new), "links")
+        discard(new, *([before] if before is not None else []))
+        label = components(edges)
+    discard(placed, done)
     return signed, nodes, edges, label
 
 
