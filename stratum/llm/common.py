@@ -55,10 +55,11 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
-def discard(*stored: DataFrame) -> None:
-    """Removes tables that ``materialize`` wrote and no later plan reads, and the shuffle files that made them.
+def discard(*stored: DataFrame | None, shuffles: bool = False) -> None:
+    """Removes tables that ``materialize`` wrote and no later plan reads.
 
-    Spark removes shuffle files when the driver collects its garbage, so that is asked for.
+    With ``shuffles``, also the shuffle files behind them: Spark removes those of plans that the driver has
+    dropped when it collects its garbage, so that is asked for. Worth it after large shuffles only.
     """
     spark = None
     for df in stored:
@@ -66,7 +67,7 @@ def discard(*stored: DataFrame) -> None:
         if path:
             spark = df.sparkSession
             _remove(spark, path)
-    if spark is not None:
+    if spark is not None and shuffles:
         spark.sparkContext._jvm.System.gc()
 
 

@@ -13,24 +13,26 @@ MAX_ROUNDS = 60
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b); label is the smallest node of its component.
 
-    Minima are aggregated before they are joined back, so a node of very many edges is never gathered.
+    Minima are aggregated, and written, before they are joined back, so a node of very many edges is never gathered.
     Rounds grow with the logarithm of the nodes.
     """
     down = lambda df: df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e = materialize(down(edges), "cc")
     for _ in range(MAX_ROUNDS):
-        # a forest of stars: no node is above one edge and below another
-        if e.select(F.col("v").alias("u")).distinct().join(e.select("u").distinct(), "u", "left_semi").isEmpty() and e.groupBy("u").count().filter("count > 1").isEmpty():
+        # a forest of stars: no node is above two edges, or above one and below another
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 and up > 0").isEmpty():
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(low, "minima")  # a table of its own: Spark can then split the rows of a star's root in the join
         large = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("a"), F.col("m").alias("b"))
         before, e = e, materialize(down(large), "cc")
-        discard(before)
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        discard(before, low)
+        low = materialize(e.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = e.join(low, "u")
         before, e = e, materialize(down(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))), "cc")
-        discard(before)
+        discard(before, low)
     else:
         raise RuntimeError("components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -288,8 +288,10 @@ def links(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_co
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     placed = nodes.select("fp", F.posexplode(band).alias("band", "key"))
     # only keys that meet; the others are most
-    met = placed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    # (sums are written before they are joined back, so that Spark can split a large bucket's rows in the join)
+    met = materialize(placed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "keys")
     placed = materialize(placed.join(met, "key").select("key", "band", "fp", "c"), "bands")
+    discard(met, shuffles=True)
     label = edges = done = None
     for r in range(PIVOT_ROUNDS + 1):
         if label is None:
@@ -298,12 +300,13 @@ def links(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_co
             at = placed.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
             mixed = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("c").alias("n")).filter("l0 <> l1")
             # a bucket of two that have been compared holds nothing more
-            mixed = mixed.join(done.withColumn("n", F.lit(2).cast("long")), ["a", "b", "n"], "left_anti").select("key")
+            mixed = materialize(mixed.join(done.withColumn("n", F.lit(2).cast("long")), ["a", "b", "n"], "left_anti").select("key"), "keys")
             at = materialize(at.join(mixed, "key"), "mixed")
+            discard(mixed)
         if r == PIVOT_ROUNDS:
             new = _links_in_blocks(at, nodes, docs, k, percent, id_col, text_col)
         else:
-            pivot = at.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(r), "key", "fp").alias("o"), "fp", "label")).alias("p"))
+            pivot = materialize(at.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(r), "key", "fp").alias("o"), "fp", "label")).alias("p")), "pivots")
             pairs = materialize(at.join(pivot, "key").filter(F.col("label") != F.col("p.label")).select(F.col("fp").alias("a"), F.col("p.fp").alias("b")).distinct(), "pairs")
             likely = materialize(_likely(pairs, nodes, percent / 100), "likely")
             # a node is verified with its best pivot only; what that leaves apart meets again
@@ -312,12 +315,19 @@ def links(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_co
             undirected = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             over = undirected(pairs.join(likely.select("a", "b"), ["a", "b"], "left_anti").unionByName(best))
             before, done = done, materialize((over if done is None else over.unionByName(done)).distinct(), "done")
-            discard(pairs, likely, best, *([before] if before is not None else []))
-        if label is not None:
-            discard(at)
-        before, edges = edges, materialize(new if edges is None else edges.unionByName(new), "links")
-        discard(new, *([before] if before is not None else []))
-        label = components(edges)
+            discard(pivot, pairs, likely, best, before)
+        if label is None:
+            edges, label = new, components(new)
+        else:
+            # new links join classes: components of the classes, not of all nodes again
+            discard(at, shuffles=True)
+            old = label
+            of = lambda x: old.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+            joined = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            top = components(materialize(joined, "classes-joined")).select(F.col("node").alias("label"), F.col("label").alias("top"))
+            fresh = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct().join(old, "node", "left_anti").withColumn("label", F.col("node"))
+            label = materialize(old.unionByName(fresh).join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+            edges = edges.unionByName(new)
     discard(placed, done)
     return signed, nodes, edges, label
 
