@@ -102,6 +102,17 @@ def thresholds(rows: DataFrame, goal: DataFrame, small) -> DataFrame:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """doc_id, h, source_key, size, source_size, target and ``copies`` (how often the mix takes the document)."""
+    rows, cuts = _cuts(docs, id_col, text_col, source_col, **kw)
+    return rows.join(cuts, "source_key").withColumn("copies", _copies())
+
+
+def _copies() -> Column:
+    """How often the mix takes a row, from its hash and its source's cut."""
+    return F.col("epochs") + F.when((F.shiftright("h", 60 - BITS * LEVELS) < F.col("upto")) & (F.col("source_size") > 0), 1).otherwise(0)
+
+
+def _cuts(docs: DataFrame, id_col: str, text_col: str, source_col: str, **kw) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, source_key, size) of every row, and each source's source_size, target, epochs and upto, ready to be joined."""
     rows = materialize(
         docs.select(F.col(id_col).alias("doc_id"), hashed(F.col(id_col), F.col(text_col)).alias("h"), _key(F.col(source_col)).alias("source_key"), n_words(F.col(text_col)).alias("size")), "sizes"
     )
@@ -113,19 +124,19 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     )
     n = goal.count()
     small = lambda df: broadcast_if(df, n, BROADCAST_SOURCES)
-    cuts = goal.join(thresholds(rows, goal, small), "source_key")
-    return rows.join(small(cuts), "source_key").withColumn(
-        "copies", F.col("epochs") + F.when((F.shiftright("h", 60 - BITS * LEVELS) < F.col("upto")) & (F.col("source_size") > 0), 1).otherwise(0)
-    )
+    return rows, small(goal.join(thresholds(rows, goal, small), "source_key"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """The rows of the mix, with the columns of ``docs``: documents taken twice are there twice."""
-    p = plan(docs, id_col, text_col, source_col, **kw).groupBy("source_key", "h").agg(F.max("copies").alias("n"))
+    """The rows of the mix, with the columns of ``docs``: documents taken twice are there twice.
+
+    A row's copies follow from its hash and its source's cut alone, so no text is shuffled.
+    """
+    _, cuts = _cuts(docs, id_col, text_col, source_col, **kw)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")
     keyed = docs.select(row, _key(F.col(source_col)).alias("source_key"), hashed(F.col(id_col), F.col(text_col)).alias("h"))
-    kept = keyed.join(p.filter("n > 0"), ["source_key", "h"])
-    return kept.select("r", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("r.*")
+    kept = keyed.join(cuts, "source_key").withColumn("n", _copies()).filter("n > 0")
+    return kept.select("r", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).select("r.*")
 
 
 def op7_mix_hash_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
