@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Query vectors broadcast at once (64 components: 16 MB), and scored at once against a block.
 QUERY_BLOCK = 32768
@@ -93,8 +93,13 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy())
 
 
-def _search_block(rows: DataFrame, queries, k: int) -> DataFrame:
-    q_ids, q_flat, q_len = queries
+def _search_block(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each partition's best rows for one block of queries."""
+    got = queries.select("id", "v").toArrow().combine_chunks()
+    if not got.num_rows:
+        return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+    q_ids = got.column(0).to_numpy()
+    q_flat, q_len = _lists(got.column(1).combine_chunks())
     sent = rows.sparkSession.sparkContext.broadcast((q_ids, q_flat, q_len))
 
     def run(batches):
@@ -133,29 +138,19 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
         v = F.col(vec_col)
         return df.filter(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("id"), quantized(v).alias("v"))
 
-    rows, ask = ready(vectors), ready(queries)
-    empty = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    parts, block = [], []
-    # toLocalIterator holds one partition of the queries at a time; each block has a fixed bound.
-    for r in ask.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts.append(_search_block(rows, _packed(block), k))
-            block = []
-    if block:
-        parts.append(_search_block(rows, _packed(block), k))
-    found = empty
-    for p in parts:
-        found = found.unionByName(p)
+    rows = ready(vectors)
+    # queries in blocks of a bounded size, dealt at random; one block at a time is sent, whatever their number
+    spark = rows.sparkSession
+    ask = materialize(ready(queries).withColumn("lot", F.rand(1)), "queries")
+    blocks = -(-ask.count() // (QUERY_BLOCK * 7 // 8))
+    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for i in range(blocks):
+        part = _search_block(rows, ask.filter((F.col("lot") >= i / blocks) & (F.col("lot") < (i + 1) / blocks)), k)
+        found = found.unionByName(part if blocks == 1 else materialize(part, "found"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _packed(block):
-    lengths = np.array([len(r.v) for r in block], np.int64)
-    return np.array([r.id for r in block], np.int64), np.concatenate([np.array(r.v, np.int64) for r in block]), lengths
-
-
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     return topk(v, v.filter(F.col("vec_id") % 50 == 0), 5)
