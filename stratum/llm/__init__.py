@@ -8,3 +8,7 @@ _MODULES = (("op1_shard_hilbert", sharding), ("op2_lm_attention", lm), ("op3_qua
 
 QUERIES = {name: getattr(m, name) for name, m in _MODULES}
 ORACLES = {name: m.ORACLE for name, m in _MODULES if m.ORACLE}
+
+#: Parts of results that SQL can say where it cannot say the whole: name, query, oracle.
+PART_QUERIES = {"pii_base_spans": pii.pii_base_spans}
+PART_ORACLES = {"pii_base_spans": pii.BASE_ORACLE}

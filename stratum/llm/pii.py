@@ -5,11 +5,13 @@ with matches that fail their check dropped. The pieces between matches and the m
 every position in code points, so no text leaves the JVM.
 
 The base spans are seeds. Each seed, and each other identifier-like string (a *candidate*), has
-patterns: the two words before it, and the word before with the word after. On the graph of patterns
+patterns of two words each: the two before it, the two before those next to it, one on either side, and the two
+after it. A side with too few words makes no pattern, so unlike texts never share an empty one. Words are taken from
+the ``LEFT`` code points before and the ``RIGHT`` after; a longer word is cut there. On the graph of patterns
 and instances Spark repeats, until a round accepts nothing new and scores stand still: a pattern's confidence in a kind is the mean score of its
 instances, if they support it with ``SUPPORT`` at least; a candidate's score is the noisy-or of its
 patterns. Candidates at ``CONFIDENT`` or more that stand in a pattern of ``PRECISE`` or more, and look
-like the kind, are added as spans.
+like the kind, are added as spans. A candidate is never a part of a longer run of letters and digits.
 
 The expressions are those of the contract with possessive quantifiers and a look-behind, which match
 the same spans but run in linear time and constant stack on any text.
@@ -36,7 +38,7 @@ PATTERNS = {
 }
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 #: Strings that may be identifiers: seven or more digits with a sign or two between, or a spelled-out address.
-CANDIDATE = r"\+?[0-9](?<![0-9][0-9])(?:[\x20().-]{0,2}+[0-9]){6,}+|[A-Za-z0-9._%+-]{1,64}+\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]{1,64}+(?:\x20?(?:\.|[(\[](?:dot|DOT)[)\]])\x20?[A-Za-z0-9-]{1,64}+){1,8}+"
+CANDIDATE = r"(?<![A-Za-z0-9])\+?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+(?![A-Za-z0-9])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]{1,64}+(?:\x20?(?:\.|[(\[](?:dot|DOT)[)\]])\x20?[A-Za-z0-9-]{1,64}+){1,8}+"
 LOOKS = {
     "email": r"^[A-Za-z].*(?:at|AT)",
     "ip": r"^[0-9]{1,3}(?:[\x20().-]{1,2}[0-9]{1,3}){3}$",
@@ -46,6 +48,8 @@ LOOKS = {
 SUPPORT, PRECISE, CONFIDENT = 3.0, 0.8, 0.9
 #: Rounds before an error, and the rise of all scores together that counts as none.
 MOST_ROUNDS, STILL = 100, 1e-4
+#: Code points looked at before and after a string, and words taken from them.
+LEFT, RIGHT = 80, 80
 _SPAN = "array<struct<k:int,s:int,e:int>>"
 
 
@@ -89,12 +93,16 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = found.select("doc_id", "th", "t", "base", F.concat(F.col("base"), free).alias("every"))
 
     def context(x):
-        left = F.trim(ascii_lower(F.substring(F.substring(F.col("t"), F.greatest(x["s"] - 79, F.lit(1)), F.least(x["s"], F.lit(80))), 1, 80)))
-        right = ascii_lower(F.regexp_extract(F.substring(F.col("t"), x["e"] + 1, F.lit(40)), r"^\S*\s+(\S+)", 1))
-        word = F.regexp_extract(left, r"(\S+)$", 1)
+        left = ascii_lower(F.substring(F.col("t"), F.greatest(x["s"] - (LEFT - 1), F.lit(1)), F.least(x["s"], F.lit(LEFT))))
+        right = ascii_lower(F.substring(F.col("t"), x["e"] + 1, F.lit(RIGHT)))
+        # what touches the string on the right is a mark or the rest of its word, not a word
+        before = F.regexp_extract_all(left, F.lit(r"\S+"), F.lit(0))
+        after = F.regexp_extract_all(F.regexp_replace(right, F.lit(r"^\S+"), F.lit("")), F.lit(r"\S+"), F.lit(0))
+        b, a = lambda i: F.try_element_at(before, F.lit(-i)), lambda i: F.try_element_at(after, F.lit(i))
+        shapes = (F.concat(F.lit("< "), b(2), F.lit(" "), b(1)), F.concat(F.lit("<< "), b(3), F.lit(" "), b(2)), F.concat(b(1), F.lit(" _ "), a(1)), F.concat(F.lit("> "), a(1), F.lit(" "), a(2)))
         return F.struct(
             x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.substring(F.col("t"), x["s"] + 1, x["e"] - x["s"]).alias("i"),
-            F.array_distinct(F.array(F.concat(F.lit("<"), F.regexp_extract(left, r"(\S+\s+\S+)$", 1)), F.concat(word, F.lit(" _ "), right))).alias("p"),
+            F.array_distinct(F.array_compact(F.array(*shapes))).alias("p"),
         )
 
     return found.select("doc_id", "th", "base", F.transform("every", context).alias("every"))
@@ -161,4 +169,28 @@ def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *n, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op4_pii_bootstrap``, which SQL can say too."""
+    return op4_pii_bootstrap(spark, sf_dir).drop("spans")
+
+
 ORACLE = None
+
+
+def _base_sql() -> str:
+    """Pieces between matches and the matches give every start; the contract's expressions as they stand."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(substr({digits}, -j, 1) AS INT) ELSE (CAST(substr({digits}, -j, 1) AS INT) * 2) % 10 + (CAST(substr({digits}, -j, 1) AS INT) * 2) // 10 END)) % 10 = 0"
+    valid = {"email": "true", "ip": "len(list_filter(string_split(m, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0", "card": f"len({digits}) BETWEEN 16 AND 19 AND {luhn}", "phone": f"len({digits}) BETWEEN 8 AND 15"}
+    parts = []
+    for i, k in enumerate(KINDS):
+        parts.append(f"""SELECT rid, {i} AS o, '{k}' AS kind, s, m FROM (SELECT rid, ms[i] AS m, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+FROM (SELECT rid, ps, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, string_split_regex(t, '{plain[k]}') AS ps, regexp_extract_all(t, '{plain[k]}') AS ms FROM d))) WHERE {valid[k]}""")
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY o, s) AS x FROM f GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(x, '')) AS base_sha256 FROM d LEFT JOIN g USING (rid)"""
+
+
+BASE_ORACLE = _base_sql()

@@ -88,17 +88,81 @@ def test_lm(spark, docs, none):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in rows)
 
 
+def small_model():
+    """A model of 300 ids, the end last, with random parameters and counts from made-up texts."""
+    rng = np.random.default_rng(3)
+    texts = [np.r_[rng.choice(40, rng.integers(1, 90)) ** 2 % 90, 299] for _ in range(60)]
+    flat = np.concatenate(texts)
+    counts = np.bincount(flat, minlength=300)
+    rows = lm.input_rows(counts)
+    pairs, n = np.unique(rows[np.r_[299, flat[:-1]]].astype(np.int64) * lm.INPUTS + rows[flat], return_counts=True)
+    m = lm.Model(counts, pairs, n)
+    m.with_triples(rng.integers(0, 9, (int(m.contexts.value.max()) + 1, lm.CLASSES)) * (np.bincount(m.cls, minlength=lm.CLASSES) > 0))
+    m.wc = rng.standard_normal(m.wc.shape).astype(np.float32)
+    return m, texts
+
+
 def test_lm_is_a_distribution_and_windows_do_not_matter():
-    counts = np.zeros(300, np.int64)
-    counts[[1, 2, 3, 299]] = [50, 20, 5, 9]
-    m = lm.Model(counts)
-    m.w = np.random.default_rng(0).standard_normal(m.w.shape).astype(np.float32)
-    m.w[lm.NODES] = 0
-    lp = m.log_probs(np.tile(np.random.default_rng(1).standard_normal(3 * lm.D).astype(np.float32), (300, 1)), np.arange(300))
-    assert abs(np.exp(lp).sum() - 1) < 1e-4
-    seq = [np.array([1, 2, 3] * 30 + [299]), np.array([299]), np.array([2] * 15 + [299])]
-    one = np.concatenate([lm.score_sequences(m, [s], 299) for s in seq])
-    assert np.allclose(lm.score_sequences(m, seq, 299), one, atol=1e-3)
+    m, texts = small_model()
+    rng = np.random.default_rng(1)
+    for one, two in ((m.row[1], m.row[4]), (m.end_row, m.end_row), (lm.INPUTS - 2, m.row[9])):
+        same = lambda x: np.full(300, x, np.int32)
+        lp = m.log_probs(np.tile(rng.standard_normal(lm.D).astype(np.float32), (300, 1)), same(one), same(two), np.arange(300))
+        assert abs(np.exp(lp).sum() - 1) < 1e-4
+    seq = [*texts[:9], np.array([299]), np.array([2] * 15 + [299]), np.array([4] * 16 + [299])]
+    one = np.concatenate([lm.score_sequences(m, [s]) for s in seq])
+    assert np.allclose(lm.score_sequences(m, seq), one, atol=1e-3)
+
+
+def test_lm_attention_by_hand():
+    """Token by token, without batches and masks."""
+    m, texts = small_model()
+    for t in texts[:6]:
+        x = [m.end_row, *m.row[t[:-1]]]
+        total = 0.0
+        for i, y in enumerate(t):
+            first = max(0, (i // lm.BLOCK - 1) * lm.BLOCK)
+            w = [math.exp(float(np.dot(m.eq[x[i]].astype(float), m.ekv[x[j], : lm.D])) + float(m.far[i - j])) for j in range(first, i + 1)]
+            h = sum(a * m.ekv[x[j], lm.D :].astype(float) for a, j in zip(w, range(first, i + 1))) / sum(w)
+            two = x[i - 1] if i else m.end_row
+            there, at = m.contexts.find(np.array([two * lm.INPUTS + x[i]]))
+            z = m.start[lm.INPUTS + at[0] if there[0] else x[i]] + h @ m.wc
+            n = dict(zip(m.pairs.tolist(), m.pair_counts.tolist())).get(x[i] * lm.INPUTS + m.row[y], 0)
+            inside = (n + lm.BACK_ID * m.share[y]) / (m.by_class[x[i], m.cls[y]] + lm.BACK_ID)
+            total += z[m.cls[y]] - math.log(np.exp(z.astype(float)).sum()) + math.log(inside)
+        assert abs(total - lm.score_sequences(m, [t])[0]) < 1e-2
+
+
+def test_lm_gradients():
+    m, texts = small_model()
+    win, y, _ = lm.windows(m, texts[:5])
+    _, grads, n = m.gradients(win, y)
+    loss = lambda: float(m.gradients(win, y)[0]) * n
+    for name, at in (("wc", (2, 3)), ("far", (5,)), ("eq", (int(m.row[4]), 1)), ("ekv", (int(m.row[4]), 2)), ("ekv", (int(m.row[9]), lm.D + 1))):
+        x, g = getattr(m, name), grads[name]
+        want = g[at] if not isinstance(g, tuple) else g[1][g[0] == at[0], at[1]].sum()
+        old = x[at]
+        x[at] = old + 0.02
+        up = loss()
+        x[at] = old - 0.02
+        down = loss()
+        x[at] = old
+        assert abs((up - down) / 0.04 - want) < 0.05 * max(1, abs(want)), name
+
+
+def test_lm_beats_the_base(spark):
+    """Held-out texts of 200 words of which each is followed by one of three."""
+    r = random.Random(4)
+
+    def text():
+        at = [r.randrange(200)]
+        for _ in range(119):
+            at.append((at[-1] * 7 + r.randrange(1, 4)) % 200)
+        return " ".join(f"{WORDS[i % 14]}{i}" for i in at)
+
+    d = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string").repartition(4)
+    x = lm.score(d).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert x[2] > 3000 and x[0] > x[1]
 
 
 def test_quality(spark, docs, none):
@@ -149,6 +213,29 @@ def test_pii_discovers_by_context(spark):
     d = spark.createDataFrame(seeds * 2 + [(90, "give my card number 4111111111112 please"), (91, "order 4111111111113 came")], "doc_id long, text string")
     got = {r["doc_id"]: [tuple(x) for x in r["added"]] for r in pii.extract(d).collect()}
     assert all(v == [] for k, v in got.items() if k != 90)
+    assert got[90] == [(2, 20, 33)]
+
+
+def test_pii_discovers_each_kind(spark):
+    """Seeds of a kind teach a context; a form that the base patterns miss is found there, and nowhere else."""
+    cards = [c for c in (f"411111111111{i:04d}" for i in range(10000)) if base_spans(c)][:6]
+    rows = (
+        [(i, f"please write to my private address user{i}@mail.example.com before noon {i}") for i in range(6)]
+        + [(10 + i, f"the server answers at numeric host 10.0.0.{i} since monday {i}") for i in range(6)]
+        + [(20 + i, f"they charged the credit card {c} again today {i}") for i, c in enumerate(cards)]
+        + [(30 + i, f"ring us on telephone number +1 (269) 555-329{i} after lunch {i}") for i in range(6)]
+        + [(90, "please write to my private address someone (at) mail (dot) example before noon"), (91, "the server answers at numeric host 10-20-30-177 since monday"), (92, "they charged the credit card 4111111111112 again today"), (93, "ring us on telephone number 269.555.3299 after lunch")]
+        + [(94, "an order of 4111111111112 pieces"), (95, "call 269.555.3299 or not"), (96, "x4111111111112y = \"9b0b572391524\" the credit card")]
+    )
+    got = {r["doc_id"]: [(k, rows_text[s:e]) for k, s, e in r["added"]] for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect() for rows_text in [dict(rows)[r["doc_id"]]]}
+    assert {i: v for i, v in got.items() if v} == {90: [(0, "someone (at) mail (dot) example")], 91: [(1, "10-20-30-177")], 92: [(2, "4111111111112")], 93: [(3, "269.555.3299")]}
+
+
+def test_pii_common_context_does_not_promote(spark):
+    """A context in which identifiers of all kinds and plain numbers stand says nothing of one kind."""
+    cards = [c for c in (f"411111111111{i:04d}" for i in range(10000)) if base_spans(c)][:5]
+    rows = [(i, f"of the {c} in a{i}") for i, c in enumerate(cards)] + [(10 + i, f"of the u{i}@m.example in b{i}") for i in range(5)] + [(20 + i, f"of the 100000{i}7 in c{i}") for i in range(5)]
+    assert all(r["added"] == [] for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
 def jaccard_classes(rows, k, percent):
@@ -259,6 +346,24 @@ def test_repeats(spark, docs, none):
     assert repeats.strip(docs).count() == len(ROWS) and repeats.strip(none).count() == 0
 
 
+def test_shared_words(spark, docs, none):
+    r = random.Random(8)
+    word = lambda k: "".join(r.choices("abcdé", k=r.randrange(1, 4))) + str(k)
+    passage = [word(k) for k in range(60)]
+    own = lambda n, a: [f"o{a}x{k}" for k in range(n)]
+    texts = [" ".join(own(30, 1) + passage + own(20, 2)), "\n".join(own(7, 3) + passage + own(90, 4)), " ".join(own(70, 5) + passage[:50]), " ".join(passage[9:] + own(5, 6)), None, "", " ".join(own(60, 7)), " ".join(own(60, 7)), " ".join(own(40, 8)), " ".join(own(40, 8)), " ".join(own(51, 9) + own(51, 9))]
+    split = [(t or "").split() for t in texts]
+    got = {bytes(x["tk"]): x["n_shared_words"] for x in repeats.shared_words(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    for i, (t, w) in enumerate(zip(texts, split)):
+        seen = {tuple(v[j : j + 51]) for k, v in enumerate(split) if k != i for j in range(len(v) - 50)}
+        gone = [False] * len(w)
+        for j in range(len(w) - 50):
+            if tuple(w[j : j + 51]) in seen:
+                gone[j : j + 51] = [True] * 51
+        assert got.get(hashlib.md5((t or "").encode()).digest(), 0) == sum(gone), i
+    assert repeats.shared_words(none).count() == 0
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, BASE[:200]), (2, " ".join(BASE.split()[30:50])), (3, "no such item in any of the texts"), (4, None), (5, ""), (6, "one"), (None, "the very same row in this"), (2, " ".join(BASE.split()[30:50]))]
     t = spark.createDataFrame(items, "item_id long, text string")
