@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import word_tokens
-from stratum.operators import bm25, clustering, evaluate, expand, fusion, graph, lookup, readings, state, vectors
+from stratum.operators import bm25, clustering, evaluate, expand, fusion, graph, lookup, readings, state, storage, vectors
 from stratum.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,21 +28,27 @@ def query(sql: str | None = None):
 # ---- text and BM25
 
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
-_INDEX = f"""i AS MATERIALIZED (SELECT doc_id AS id, lang, source, {_TOK} AS w FROM documents),
+
+
+def _index_sql(tok: str) -> str:
+    return f"""i AS MATERIALIZED (SELECT doc_id AS id, lang, source, {tok} AS w FROM documents),
 n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM i)"""
 
 
+_INDEX = _index_sql(_TOK)
+
+
 def _freq(p: list[str]) -> str:
     return "count(*) FILTER (" + " AND ".join(f"t{k} = '{t}'" for k, t in enumerate(p)) + ")"
 
 
-def bm25_sql(phrases: list[list[str]], select: str = "id, score", where: str = "true", limit: int = 50, join: str = "") -> str:
+def bm25_sql(phrases: list[list[str]], select: str = "id, score", where: str = "true", limit: int = 50, join: str = "", tok: str = _TOK) -> str:
     cols = ", ".join(f"{_freq(p)} AS f{k}" for k, p in enumerate(phrases))
     df = lambda k: f"(count(*) FILTER (f{k} > 0))"
     idf = ", ".join(f"greatest(ln((n - {df(k)} + 0.5) / ({df(k)} + 0.5)), 1e-6) AS i{k}" for k in range(len(phrases)))
     part = " + ".join(f"i{k} * (f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * k / a)))" for k in range(len(phrases)))
     some = " OR ".join(f"f{k} > 0" for k in range(len(phrases)))
-    return f"""WITH {_INDEX},
+    return f"""WITH {_index_sql(tok)},
 t AS (SELECT id, lang, source, len(w) AS k, unnest(w) AS t0, generate_subscripts(w, 1) AS pos FROM i),
 t2 AS (SELECT *, lead(t0) OVER p AS t1, lead(t0, 2) OVER p AS t2 FROM t WINDOW p AS (PARTITION BY id ORDER BY pos)),
 f AS (SELECT id, lang, source, k, {cols} FROM t2 GROUP BY ALL), d AS (SELECT {idf} FROM f, n GROUP BY n),
@@ -51,7 +57,9 @@ SELECT {select} FROM s {join}"""
 
 
 def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", "word", "lang", "source")
+    """Written once for its table; every search reads it."""
+    make = lambda: bm25.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", "word", "lang", "source")
+    return storage.build_once(spark, "documents-index", f"{sf_dir}/documents.parquet", make)
 
 
 @query(bm25_sql([["the"]]))
@@ -83,6 +91,51 @@ def bm25_left_payload(spark, sf_dir):
     return hits.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left")
 
 
+#: Letters as ideographs, so that tables without any can be searched by character.
+_LETTERS, _HAN = "abcdefghijklmnopqrstuvwxyz", "一二三四五六七八九十山水火木土日月人口手足目耳心天石"
+_HANTEXT = f"translate(lower(coalesce(text, '')), '{_LETTERS}', '{_HAN}')"
+_HANTOK = f"regexp_extract_all({_HANTEXT}, '[{_HAN}]')"
+_KOTOK = "list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+'), lambda x: lower(x))"
+
+
+def han(word: str) -> str:
+    return word.translate(str.maketrans(_LETTERS, _HAN))
+
+
+def characters_index(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Documents by character: ``han`` with letters as ideographs, ``ko`` by syllable and run of ASCII."""
+    text = F.translate(F.lower("text"), _LETTERS, _HAN) if mode == "han" else F.col("text")
+    make = lambda: bm25.build_index(table(spark, sf_dir, "documents").withColumn("text", text), "doc_id", "text", mode, "lang", "source")
+    return storage.build_once(spark, f"{mode}-index", f"{sf_dir}/documents.parquet", make)
+
+
+@query(bm25_sql([list(han("the")), list(han("der"))], tok=_HANTOK))
+def bm25_han(spark, sf_dir):
+    return bm25.search_text(characters_index(spark, sf_dir, "han"), [han("the"), han("der")], "han", limit=50).select("id", "score")
+
+
+@query(bm25_sql([["of", "the"], ["der"]], tok=_KOTOK))
+def bm25_ko(spark, sf_dir):
+    return bm25.search_text(characters_index(spark, sf_dir, "ko"), ["of the", "der"], "ko", limit=50).select("id", "score")
+
+
+@query(f"SELECT t AS term, count(*) AS cf FROM (SELECT unnest({_HANTOK}) AS t FROM documents) GROUP BY t")
+def han_characters(spark, sf_dir):
+    return characters_index(spark, sf_dir, "han").select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+
+
+@query(f"SELECT t AS term, count(*) AS cf FROM (SELECT unnest({_KOTOK}) AS t FROM documents) GROUP BY t")
+def ko_terms(spark, sf_dir):
+    return characters_index(spark, sf_dir, "ko").select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+
+
+@query(f"SELECT doc_id, CAST(len({_HANTOK}) AS INTEGER) AS char_count FROM documents")
+def char_counts(spark, sf_dir):
+    from stratum.functions.text import char_count
+
+    return table(spark, sf_dir, "documents").select("doc_id", char_count(F.translate(F.lower(F.coalesce("text", F.lit(""))), _LETTERS, _HAN)).alias("char_count"))
+
+
 _BATCH = {1: [["the"]], 2: [["of", "the"]], 3: _OR, 4: [["die"], ["und"]]}
 
 
@@ -92,7 +145,8 @@ def bm25_batch_postings(spark, sf_dir):
     rows = [(q, i, p) for q, ps in _BATCH.items() for i, p in enumerate(ps)]
     q = spark.createDataFrame(rows, "query_id long, phrase_id int, tokens array<string>")
     totals = bm25.index_stats(idx)
-    return bm25.batch_search(bm25.postings(idx), totals, F.broadcast(q), 20)
+    terms = [t for _, _, p in rows for t in p]
+    return bm25.batch_search(bm25.postings(idx, terms), totals, F.broadcast(q), 20)
 
 
 @query(f"""SELECT 'documents' AS name, count(*) AS n_docs, CAST(sum(len({_TOK})) AS BIGINT) AS n_tokens FROM documents
@@ -209,7 +263,7 @@ def lookup_occurrences(spark, sf_dir):
 # ---- clustering
 
 _SIM, _MU = 0.32, 1.35
-_EDGES = """v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 500),
+_EDGES = """v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 nv AS MATERIALIZED (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM v),
 s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.l * b.l), 9) AS sim FROM nv a JOIN nv b ON a.vec_id < b.vec_id)"""
 
@@ -232,7 +286,7 @@ pts AS (SELECT {points})"""
 def cosine_edges(spark: SparkSession, sf_dir: str, least: float = _SIM) -> tuple[DataFrame, DataFrame]:
     """All vectors as points, and all pairs of them with a cosine of ``least`` or more."""
     v = table(spark, sf_dir, "embeddings")
-    return v.select(F.col("vec_id").alias("point")), clustering.cut_lineage(vectors.similar_pairs(v, least, "vec_id", "embedding"))
+    return v.select(F.col("vec_id").alias("point")), storage.cut_lineage(vectors.similar_pairs(v, least, "vec_id", "embedding"))
 
 
 _COS = _fdb_sql(_EDGES, "vec_id AS point FROM v", str(_SIM), str(_MU))
@@ -269,6 +323,22 @@ def fdbscan_suggest(spark, sf_dir):
     return clustering.suggest_thresholds(members.select(F.col("entity").alias("point")), edges)
 
 
+_PLACE = (0.02, 0.1)
+_PLACED = _fdb_sql(f"{_EGO},\ns AS (SELECT a, b, sim FROM jac)", "entity AS point FROM mem", str(_PLACE[0]), str(_PLACE[1])).replace("\nmem AS (SELECT p AS point", "\nfuzzy AS (SELECT p AS point")
+
+
+@query(f"WITH RECURSIVE {_PLACED} SELECT point, cluster, round(membership, 6) AS membership, core FROM fuzzy")
+def place_clusters(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    return clustering.place_clusters(m, "passage_id", "entity", seed_of(m), "fixed", *_PLACE, min_cooc=1)["members"].withColumn("membership", F.round("membership", 6))
+
+
+@query(f"WITH RECURSIVE {_PLACED} SELECT point FROM pts WHERE point NOT IN (SELECT point FROM fuzzy)")
+def place_noise(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    return clustering.place_clusters(m, "passage_id", "entity", seed_of(m), "fixed", *_PLACE, min_cooc=1)["noise"]
+
+
 @query()
 def fdbscan_auto(spark, sf_dir):
     m = mentions(spark, sf_dir)
@@ -286,7 +356,7 @@ def fdbscan_sweep(spark, sf_dir):
 
 @query("SELECT l_returnflag AS g, list_sort(list(l_extendedprice))[CAST(floor(0.8 * (count(*) - 1)) AS BIGINT) + 1] AS q FROM lineitem GROUP BY 1")
 def quantile_floor(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(clustering.quantile(F.col("l_extendedprice"), 0.8).alias("q"))
+    return clustering.quantile(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), "l_extendedprice"), ["g"], "l_extendedprice", 0.8)
 
 
 @query("SELECT l_partkey AS entity, CAST(least(greatest(floor(log10(count(DISTINCT l_orderkey) + 1) + 0.5), 1), 5) AS INTEGER) AS min_cooc FROM lineitem GROUP BY 1")
@@ -298,7 +368,8 @@ def estimate_min_cooc(spark, sf_dir):
 # ---- vectors and fusion
 
 _COSSQL = """v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS l FROM embeddings),
-c AS (SELECT q.vec_id AS query_id, d.vec_id AS id, d.label, q.label AS qlabel, round(list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2])) / (q.l * d.l), 9) AS score FROM v q JOIN v d ON q.vec_id < 10)"""
+c AS (SELECT q.vec_id AS query_id, d.vec_id AS id, d.label, q.label AS qlabel, round(list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2])) / (q.l * d.l), 9) AS score FROM v q JOIN v d ON q.vec_id % 50 = 0)"""
+_ALLCOS = _COSSQL.replace("q.vec_id % 50 = 0", "q.vec_id <> d.vec_id")
 
 
 @query(f"WITH {_COSSQL} SELECT id, score FROM c WHERE query_id = 0 ORDER BY score DESC, id LIMIT 20")
@@ -408,9 +479,9 @@ def variants_expand(spark, sf_dir):
     return expand.expand_variants(p, p.agg(F.min("surface")).first()[0])
 
 
-@query(bm25_sql([["and"], ["auf"], ["der"]], limit=20))
+@query(bm25_sql([["and"], ["auf"], ["der"], ["und"]], limit=20))
 def variants_search(spark, sf_dir):
-    groups = spark.createDataFrame([(1, "und"), (1, "and"), (2, "and"), (2, "der"), (2, "auf"), (3, "la")], "group_id int, surface string").filter("group_id = 2")
+    groups = spark.createDataFrame([(1, "und"), (1, "and"), (2, "and"), (2, "der"), (2, "auf"), (3, "la")], "group_id int, surface string")
     names = expand.search_phrases(expand.expand_variants(groups, "and"))
     return bm25.search(documents_index(spark, sf_dir), [[n] for n in names], 20).select("id", "score")
 
@@ -452,6 +523,80 @@ def pending_count(spark, sf_dir):
     return state.count_pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
 
 
+# ---- readings of names: parts, with letters as ideographs
+
+_SYLLABLES = "가바사아자차카타파하거버서어저처커터퍼허고보소오조초"
+#: A fifth of the characters has no reading, one, two, one with another by the initial law, or one by the initial law.
+_READINGS = [(c, r, k, d) for i, c in enumerate(_HAN) for r, k, d in {0: [], 1: [(_SYLLABLES[i], 0, 0)], 2: [(_SYLLABLES[i], 0, 0), ("도", 1, 0)], 3: [("두", 0, 1), (_SYLLABLES[i], 1, 0)], 4: [(_SYLLABLES[i], 0, 1)]}[i % 5]]
+_PARTS = f"""cr AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{r}', {k}, {d})" for c, r, k, d in _READINGS)}) t(ch, reading, seq, is_dueum)),
+cs AS (SELECT ch, count(*) FILTER (is_dueum = 0) AS plain, arg_min(reading, seq) FILTER (is_dueum = 0) AS first_plain, arg_min(reading, seq) AS first FROM cr GROUP BY ch),
+en AS (SELECT p_partkey AS entity_id, translate(p_name, '{_LETTERS}', '{_HAN}') AS surface FROM part),
+ch AS (SELECT entity_id, surface, pos, substr(surface, pos, 1) AS c FROM (SELECT *, unnest(range(1, length(surface) + 1)) AS pos FROM en)),
+rd AS (SELECT entity_id, surface, pos, c, CASE WHEN NOT contains('{_HAN}', c) OR plain IS NULL THEN c WHEN plain = 0 THEN first ELSE first_plain END AS r, NOT contains('{_HAN}', c) OR coalesce(plain, 0) = 1 AS ok FROM ch LEFT JOIN cs ON c = cs.ch),
+sy AS (SELECT entity_id, surface, string_agg(r, '' ORDER BY pos) AS reading, bool_and(ok) AS confirmed FROM rd GROUP BY 1, 2),
+nm AS (SELECT surface, min(entity_id) AS k FROM en GROUP BY 1),
+sd AS (SELECT surface, '씨앗' || k AS seed FROM nm WHERE k % 5 = 0),
+di AS (SELECT surface AS han, CASE WHEN k % 2 = 0 THEN repeat('아', length(regexp_replace(surface, '[^{_HAN}]', '', 'g'))) ELSE '짧' END AS headword FROM nm WHERE k % 3 = 0)"""
+
+
+def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """entities, char_reading, surface seeds and dictionary."""
+    e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.translate("p_name", _LETTERS, _HAN).alias("surface"))
+    r = spark.createDataFrame([(c, s, k, d, "unihan") for c, s, k, d in _READINGS], "char string, reading string, seq int, is_dueum int, source string")
+    k = e.groupBy("surface").agg(F.min("entity_id").alias("k"))
+    size = F.length(F.regexp_replace("surface", f"[^{_HAN}]", ""))
+    seed = k.filter("k % 5 = 0").select("surface", F.concat(F.lit("씨앗"), "k").alias("original"))
+    words = k.filter("k % 3 = 0").select(F.col("surface").alias("han"), F.when(F.col("k") % 2 == 0, F.repeat(F.lit("아"), size)).otherwise("짧").alias("headword"))
+    return e, r, seed, words
+
+
+@query(f"""WITH {_PARTS} SELECT entity_id, surface, reading, confirmed, coalesce(v, '') AS review FROM sy
+LEFT JOIN (SELECT entity_id, string_agg(c, '' ORDER BY pos) AS v FROM (SELECT entity_id, c, min(pos) AS pos FROM rd WHERE NOT ok GROUP BY 1, 2) GROUP BY 1) USING (entity_id)""")
+def reading_synthesis(spark, sf_dir):
+    e, r, _, _ = _names(spark, sf_dir)
+    return readings.synthesize(e, r).withColumn("review", F.array_join("review", ""))
+
+
+@query(f"""WITH {_PARTS}, o AS (SELECT entity_id, surface, coalesce(seed, reading) AS reading, CASE WHEN seed IS NOT NULL THEN 'seed' ELSE 'synth' END AS source, CASE WHEN seed IS NOT NULL THEN 100 WHEN confirmed THEN 10 ELSE 1 END AS confidence,
+  CASE WHEN seed IS NOT NULL THEN 'seeded' WHEN confirmed THEN 'auto_confirmed' ELSE 'draft' END AS status, seed IS NOT NULL OR confirmed AS adopted FROM sy LEFT JOIN sd USING (surface)),
+c AS (SELECT *, headword IS NOT NULL AND length(headword) = length(regexp_replace(surface, '[^{_HAN}]', '', 'g')) AS fits FROM o LEFT JOIN di ON surface = han WHERE adopted)
+SELECT entity_id, 'original' AS reading_type, reading, source, confidence, status, adopted FROM o
+UNION ALL SELECT entity_id, 'conventional', CASE WHEN fits THEN headword ELSE reading END, CASE WHEN fits THEN 'dict' ELSE 'rule' END, CASE WHEN fits THEN 50 ELSE 5 END, 'auto_confirmed', true FROM c""")
+def reading_build(spark, sf_dir):
+    return readings.build_readings(*_names(spark, sf_dir))
+
+
+@query(f"""WITH {_PARTS}, u AS (SELECT DISTINCT c FROM ch WHERE contains('{_HAN}', c))
+SELECT c AS char, CASE WHEN plain IS NULL THEN 'rare' ELSE 'polyphone' END AS reason, coalesce((SELECT string_agg(reading, '' ORDER BY seq) FROM cr WHERE cr.ch = c), '') AS candidates FROM u LEFT JOIN cs ON c = cs.ch WHERE plain IS NULL OR plain <> 1""")
+def reading_pending(spark, sf_dir):
+    e, r, _, _ = _names(spark, sf_dir)
+    return readings.pending_chars(e, r, spark.createDataFrame([], "char string")).withColumn("candidates", F.array_join("candidates", ""))
+
+
+@query(f"WITH {_PARTS} SELECT ch AS char, first_plain AS reading FROM cs WHERE plain = 1")
+def reading_single(spark, sf_dir):
+    return readings.single_readings(_names(spark, sf_dir)[1])
+
+
+# ---- states: events as the log of translations
+
+_LOG = """l AS (SELECT user_id AS passage_id, event_type AS provider, 'm' || (event_id % 4) AS model, CASE WHEN event_id % 3 > 0 THEN 't' || event_id END AS text, CASE WHEN event_id % 3 > 0 THEN 'done' ELSE 'failed' END AS status, event_id % 7 = 1 AND event_id % 3 > 0 AS adopted, event_id AS seq FROM events)"""
+
+
+@query(f"""WITH {_LOG}, now AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY passage_id, provider ORDER BY seq DESC) = 1),
+good AS (SELECT passage_id, provider, model AS m, text AS t FROM l WHERE status = 'done' QUALIFY row_number() OVER (PARTITION BY passage_id, provider ORDER BY seq DESC) = 1),
+live AS (SELECT passage_id, provider AS live FROM l WHERE adopted QUALIFY row_number() OVER (PARTITION BY passage_id ORDER BY seq DESC) = 1)
+SELECT passage_id, provider, coalesce(m, model) AS model, t AS text, status, coalesce(provider = live, false) AS adopted FROM now LEFT JOIN good USING (passage_id, provider) LEFT JOIN live USING (passage_id)""")
+def translation_state(spark, sf_dir):
+    n = F.col("event_id")
+    done = n % 3 > 0
+    log = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("passage_id"), F.col("event_type").alias("provider"), F.concat(F.lit("m"), n % 4).alias("model"), F.when(done, F.concat(F.lit("t"), n)).alias("text"),
+        F.when(done, "done").otherwise("failed").alias("status"), ((n % 7 == 1) & done).alias("adopted"), n.alias("seq"),
+    )
+    return state.translation_state(log)
+
+
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def adopt_latest(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("adopted", F.lit(True))
@@ -468,7 +613,7 @@ def insert_or_ignore(spark, sf_dir):
     return state.insert_or_ignore(have, e.filter("event_id % 2 = 1"), keys, ["event_id"])
 
 
-@query("SELECT CAST(coalesce(c.c_custkey, n.o_custkey) AS BIGINT) AS id, CASE WHEN n.o_custkey IS NOT NULL THEN n.t ELSE c.c_acctbal END AS value FROM customer c FULL JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) n ON c.c_custkey = n.o_custkey")
+@query("SELECT CAST(coalesce(c.c_custkey, n.o_custkey) AS BIGINT) AS id, CASE WHEN n.o_custkey IS NOT NULL THEN n.t ELSE c.c_acctbal END AS value FROM customer c FULL JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders GROUP BY 1) n ON c.c_custkey = n.o_custkey")
 def upsert_latest(spark, sf_dir):
     t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
     return state.upsert(t, table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("value")), ["id"])
@@ -526,6 +671,6 @@ def metric_grouping_sets(spark, sf_dir):
     return evaluate.by_language_and_overall(m, "lang", "arm")
 
 
-@query(f"WITH {_COSSQL} SELECT label = qlabel AS category, count(*) AS pairs, round(avg(score), 6) AS mean_sim, round(min(score), 6) AS min_sim, round(max(score), 6) AS max_sim FROM c WHERE query_id <> id GROUP BY 1")
+@query(f"WITH {_ALLCOS} SELECT label = qlabel AS category, count(*) AS pairs, round(avg(score), 6) AS mean_sim, round(min(score), 6) AS min_sim, round(max(score), 6) AS max_sim FROM c WHERE query_id <> id GROUP BY 1")
 def pair_cosine_by_category(spark, sf_dir):
     return vectors.pair_similarity_by_label(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")

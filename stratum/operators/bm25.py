@@ -84,9 +84,16 @@ def search_text(index: DataFrame, terms: Sequence[str], mode: str = "word", **kw
     return search(index, [r["p"] for r in rows], **kw)
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """(term, id, pos, n_tokens): write this partitioned or bucketed by term to serve many queries."""
-    return index.select("id", "n_tokens", F.posexplode("tokens").alias("pos", "term"))
+def postings(index: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
+    """(term, id, pos, n_tokens): write this partitioned or bucketed by term to serve many queries.
+
+    With ``terms`` only theirs, chosen before tokens become rows.
+    """
+    if terms is None:
+        return index.select("id", "n_tokens", F.posexplode("tokens").alias("pos", "term"))
+    asked = F.array(*[F.lit(t) for t in sorted(set(terms))])
+    some = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))), lambda x: F.array_contains(asked, x["term"]))
+    return index.filter(F.arrays_overlap("tokens", asked)).select("id", "n_tokens", F.explode(some).alias("x")).select("id", "n_tokens", "x.pos", "x.term")
 
 
 def batch_search(post: DataFrame, totals: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:

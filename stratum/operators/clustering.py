@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components, cut_lineage
+from .components import components
 from .graph import degrees, jaccard, local_graph, pairs
+from .storage import cut_lineage
 
 DEFAULTS = {"sim_min": 0.12, "mu_min": 0.5, "min_cooc": 2, "limit": 200}
 FACTORS = (0.7, 1.0, 1.5, 2.2)
@@ -62,10 +63,33 @@ def noise(points: DataFrame, members: DataFrame) -> DataFrame:
     return points.select("point").distinct().join(members, "point", "left_anti")
 
 
-def quantile(values: Column, q: float) -> Column:
-    """The value at place floor(q * (n - 1)) in ascending order, of the values of a group; null if there are none."""
-    a = F.sort_array(F.collect_list(values))
-    return F.get(a, F.least(F.greatest(F.floor(F.lit(q) * (F.size(a) - 1)), F.lit(0)), F.size(a) - 1).cast("int"))
+#: One part in so many is how far a sketch may be off in rank.
+_ACCURACY = 20_000
+
+
+def quantile(df: DataFrame, by: list[str], value: str, q: float, out: str = "q") -> DataFrame:
+    """(by, out): the value at place floor(q * (n - 1)) in ascending order, of the values of each group; null if there are none.
+
+    A sketch brackets the place; values below the bracket are counted, and only those within, one row for each
+    value, are put in order. So no group is gathered, and the result is exact.
+    """
+    v = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    keys = by or ["_all"]
+    v = v if by else v.withColumn("_all", F.lit(1))
+    near = lambda d: F.percentile_approx("_v", F.lit(min(1.0, max(0.0, q + d / _ACCURACY))), F.lit(_ACCURACY))
+    edge = v.groupBy(*keys).agg(F.count("*").alias("_n"), near(-3).alias("_lo"), near(3).alias("_hi"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # the place of a small group may be off by a row or two besides
+    small = F.col("_n") <= 10 * _ACCURACY
+    edge = edge.select(*keys, F.floor(F.lit(q) * (F.col("_n") - 1)).alias("_place"), F.when(small, F.col("_min")).otherwise(F.col("_lo")).alias("_lo"), F.when(small, F.col("_max")).otherwise(F.col("_hi")).alias("_hi"))
+    edge = cut_lineage(edge)
+    met = v.join(edge, keys).filter("_v <= _hi")
+    below = F.col("_v") < F.col("_lo")
+    counts = met.groupBy(*keys, "_place", F.when(~below, F.col("_v")).alias("_v")).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
+    got = counts.withColumn("_upto", upto).filter((F.col("_upto") > F.col("_place")) & F.col("_v").isNotNull()).groupBy(*keys).agg(F.min("_v").alias(out))
+    if by:
+        return df.select(*by).distinct().join(got, by, "left")
+    return got.agg(F.min(out).alias(out))
 
 
 def estimate_min_cooc(units: Column) -> Column:
@@ -79,11 +103,12 @@ def round3(c: Column) -> Column:
 def suggest_thresholds(points: DataFrame, edges: DataFrame, sim_q: float = 0.8, mu_q: float = 0.5) -> DataFrame:
     """One row: sim_min and mu_min from the quantiles of similarities and of densities, and positive_edges."""
     e = cut_lineage(edges.filter("sim > 0").select("a", "b", F.round("sim", 12).alias("sim")))
-    s = e.agg(quantile(F.col("sim"), sim_q).alias("s"), F.count("*").alias("positive_edges")).withColumn("s", F.coalesce("s", F.lit(DEFAULTS["sim_min"])))
+    s = quantile(e, [], "sim", sim_q, "s").join(e.agg(F.count("*").alias("positive_edges")), F.lit(True)).withColumn("s", F.coalesce("s", F.lit(DEFAULTS["sim_min"])))
+    s = cut_lineage(s)
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     strong = both.join(F.broadcast(s), F.col("sim") >= F.col("s")).groupBy("a").agg(F.aggregate(F.sort_array(F.collect_list("sim")), F.lit(0.0), lambda t, x: t + x).alias("rho"))
     dens = points.select(F.col("point").alias("a")).distinct().join(strong, "a", "left").select(F.round(F.coalesce("rho", F.lit(0.0)), 12).alias("rho"))
-    mu = dens.agg(quantile(F.col("rho"), mu_q).alias("m"))
+    mu = quantile(dens, [], "rho", mu_q, "m")
     return s.join(F.broadcast(mu), F.lit(True)).select(round3(F.col("s")).alias("sim_min"), round3(F.coalesce("m", F.lit(DEFAULTS["mu_min"]))).alias("mu_min"), "positive_edges")
 
 

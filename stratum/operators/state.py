@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import number_rows
+
 
 def latest(log: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last row of each key by ``order`` (descending columns)."""
@@ -31,8 +33,7 @@ def resolve_entities(entity: DataFrame, mentioned: DataFrame) -> DataFrame:
     """Entities (entity_id, type, surface) with those added that are mentioned (type, surface, pos), numbered as first seen."""
     fresh = mentioned.groupBy("type", "surface").agg(F.min("pos").alias("pos")).join(entity, ["type", "surface"], "left_anti")
     top = entity.agg(F.coalesce(F.max("entity_id"), F.lit(0)).alias("top"))
-    w = Window.partitionBy(F.lit(0)).orderBy("pos", "type", "surface")
-    new = fresh.withColumn("n", F.row_number().over(w)).join(F.broadcast(top), F.lit(True)).select((F.col("top") + F.col("n")).cast("long").alias("entity_id"), "type", "surface")
+    new = number_rows(fresh, ["pos", "type", "surface"]).join(F.broadcast(top), F.lit(True)).select((F.col("top") + F.col("n")).cast("long").alias("entity_id"), "type", "surface")
     return entity.select(F.col("entity_id").cast("long").alias("entity_id"), "type", "surface").unionByName(new)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import index_tokens
+from stratum.operators.storage import cut_lineage, number_rows, running_total
 
 KEPT = ("sort", "num", "name", "id", "ref", "namealias")
 _NOT_SOURCE = re.compile("번역|역문|주석")
@@ -147,9 +148,10 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def corpus_tables(docs: DataFrame, corpus_id: int, first_passage: int = 1) -> dict[str, DataFrame]:
     """node, passage, mention and annotation tables, passages numbered in file and document order."""
     p = docs.select("path", F.posexplode("passages").alias("i", "p"))
-    w = Window.partitionBy(F.lit(0)).orderBy("path", "i")
-    ids = p.select("path", "i").withColumn("passage_id", (F.row_number().over(w) + F.lit(first_passage - 1)).cast("long"))
-    p = p.join(ids, ["path", "i"])
+    # a document's passages follow one another, so only documents are put in order
+    sizes = number_rows(docs.select("path", F.size("passages").cast("long").alias("k")), ["path"])
+    before = running_total(sizes, "n", "k")
+    p = p.join(before.select("path", "before"), "path").withColumn("passage_id", F.col("before") + F.col("i") + F.lit(first_passage))
     tokens = index_tokens(F.col("p.text"), "han")
     node = docs.select("path", F.posexplode("nodes").alias("i", "n"))
     last = Window.partitionBy("n.id").orderBy(F.desc("path"), F.desc("i"))
@@ -159,27 +161,55 @@ def corpus_tables(docs: DataFrame, corpus_id: int, first_passage: int = 1) -> di
         "node": node,
         "passage": p.select(F.lit(corpus_id).alias("corpus_id"), "passage_id", F.col("p.node_id").alias("node_id"), F.col("p.seq").alias("seq"), F.col("p.text").alias("text"), tokens.alias("tokens"), F.size(tokens).alias("char_count")),
         "mention": m.select(F.lit(corpus_id).alias("corpus_id"), "passage_id", "node_id", F.col("pos"), F.col("m.type").alias("type"), F.col("m.surface").alias("surface"), F.col("m.char_offset").alias("char_offset"), F.col("m.attrs").alias("attrs")),
-        "annotation": p.select("passage_id", F.explode("p.annotations").alias("a")).select("passage_id", F.col("a.type").alias("type"), F.col("a.text").alias("text")),
+        "annotation": p.select("passage_id", F.explode("p.annotations").alias("a")).select(F.lit(corpus_id).alias("corpus_id"), "passage_id", F.col("a.type").alias("type"), F.col("a.text").alias("text")),
     }
 
 
-def ingest(spark: SparkSession, folder: str, corpus_id: int, entity: DataFrame, out: str | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
+#: Tables of a corpus that lie in partitions by corpus_id.
+OWN_TABLES = ("corpus", "node", "passage", "mention", "annotation")
+
+
+def ingest(spark: SparkSession, folder: str, corpus_id: int, entity: DataFrame, out: str | None = None, name: str | None = None, first_passage: int | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
     """Tables of a corpus with its entities resolved, and their counts.
 
-    With ``out`` the corpus's partitions are overwritten there, last of all, so a failed run leaves the
-    old ones. Entities are never removed.
+    With ``out`` the corpus's partitions are overwritten there and then the entities are put in place, last of
+    all, so a failed run leaves the old ones. Entities are never removed. Passages are numbered from above all
+    that ``out`` holds, so no two corpora share a number.
     """
     from stratum.operators.state import resolve_entities
 
-    t = corpus_tables(read_documents(spark, folder), corpus_id)
+    if first_passage is None:
+        have = _stored(spark, out, "passage") if out else None
+        first_passage = 1 + ((have.agg(F.max("passage_id")).first()[0] or 0) if have is not None else 0)
+    t = corpus_tables(read_documents(spark, folder), corpus_id, first_passage)
     seen = t["mention"].withColumn("place", F.col("passage_id") * 1_000_000 + F.col("pos"))
-    every = resolve_entities(entity, seen.select("type", "surface", F.col("place").alias("pos")))
+    every = cut_lineage(resolve_entities(entity, seen.select("type", "surface", F.col("place").alias("pos"))))
     t["mention"] = t["mention"].join(every, ["type", "surface"])
     t["entity"] = every
-    before = entity.count()
-    counts = {k: v.count() for k, v in t.items()} | {"new_entity": every.count() - before}
+    counts = {k: v.count() for k, v in t.items()} | {"new_entity": every.count() - entity.count()}
+    t["corpus"] = spark.createDataFrame([(corpus_id, name or f"corpus {corpus_id}", folder)], "corpus_id int, name string, folder string")
     if out:
-        for k in ("node", "passage", "mention"):
+        for k in OWN_TABLES:
             t[k].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_id").parquet(f"{out}/{k}")
-        t["entity"].write.mode("overwrite").parquet(f"{out}/entity_next")
+        every.write.mode("overwrite").parquet(f"{out}/entity_next")
+        _put_in_place(spark, f"{out}/entity_next", f"{out}/entity")
+        t = {k: spark.read.parquet(f"{out}/{k}").filter(F.col("corpus_id") == corpus_id) for k in OWN_TABLES} | {"entity": spark.read.parquet(f"{out}/entity")}
     return t, counts
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _stored(spark: SparkSession, out: str, name: str) -> DataFrame | None:
+    p, fs = _files(spark, f"{out}/{name}")
+    return spark.read.parquet(f"{out}/{name}") if fs.exists(p) else None
+
+
+def _put_in_place(spark: SparkSession, new: str, old: str) -> None:
+    """``new`` takes the name ``old``; what was there goes only once the new table is written whole."""
+    (n, fs), (o, _) = _files(spark, new), _files(spark, old)
+    fs.delete(o, True)
+    if not fs.rename(n, o):
+        raise OSError(f"{new} could not be renamed")
