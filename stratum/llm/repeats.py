@@ -291,13 +291,22 @@ def shared_words(docs: DataFrame, text_col: str = "text", words: int = PASSAGE)
         for b in batches:
             tk = b.column(1)
             for a in range(0, b.num_rows, 256):
-                for of, first, size, key, _ in runs([word_hashes(t) for t in b.column(0).slice(a, 256).to_pylist()], words, WORD_GRAM):
-                    yield pa.RecordBatch.from_arrays([tk.take(pa.array(of + a)), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(key.view(np.int64))], ["tk", "a", "size", "key"])
+                for of, first, size, key, body in runs([word_hashes(t) for t in b.column(0).slice(a, 256).to_pylist()], words, WORD_GRAM):
+                    yield pa.RecordBatch.from_arrays([tk.take(pa.array(of + a)), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(key.view(np.int64)), pa.array(body.view(np.int64))], ["tk", "a", "size", "key", "body"])
 
-    found = materialize(rows.select("b", "tk").mapInArrow(find, "tk binary, a int, size int, key long"), "word-runs")
+    found = materialize(rows.select("b", "tk").mapInArrow(find, "tk binary, a int, size int, key long, body long"), "word-runs")
     known = materialize(found.groupBy("key").agg(F.min("tk").alias("t0"), F.max("tk").alias("t1")).filter("t0 <> t1").select("key"), "known")
-    some = materialize(found.join(known, "key").select("tk", "a", "size").distinct().groupBy("tk").agg(F.collect_list(F.struct("a", "size")).alias("r")), "word-candidates")
+    cand = materialize(found.join(known, "key").distinct(), "word-candidates")
     discard(found, known, shuffles=True)
+    # runs alike in all windows in two texts are settled; of the others that share an anchor the windows are looked at
+    kinds = materialize(cand.groupBy("key", "body").agg(F.min("tk").alias("t0"), F.max("tk").alias("t1"), F.min(F.struct("tk", "a", "size")).alias("one"), F.max(F.struct("tk", "a", "size")).alias("two")), "kinds")
+    alike = kinds.filter("t0 <> t1")
+    several = materialize(kinds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "several")
+    single = materialize(kinds.filter("t0 = t1").join(several, "key", "left_semi").select("key", "body"), "single")
+    # two texts stand for a settled kind, so that a run of either is met by the other
+    witness = alike.join(several, "key", "left_semi").select(F.explode(F.array("one", "two")).alias("x")).select("x.tk", "x.a", "x.size", F.lit(False).alias("open"))
+    border = cand.join(single, ["key", "body"], "left_semi").select("tk", "a", "size", F.lit(True).alias("open")).unionByName(witness)
+    some = materialize(border.groupBy("tk").agg(F.collect_list(F.struct("a", "size", "open")).alias("r")), "word-borders")
     keys = some.select("tk")
     texts = rows.join(broadcast_if(keys, keys.count(), BROADCAST_ROWS), "tk", "left_semi").dropDuplicates(["tk"]).join(some, "tk").select("tk", "b", "r")
 
@@ -307,11 +316,14 @@ def shared_words(docs: DataFrame, text_col: str = "text", words: int = PASSAGE)
                 ws = window_hashes(word_hashes(raw), [r["a"] for r in rs], [r["size"] for r in rs], words, WORD_GRAM)
                 n = np.array([len(w) for w in ws])
                 at = np.repeat(np.array([r["a"] for r in rs]) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([tk.as_py()] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(np.concatenate(ws).view(np.int64))], ["tk", "s", "w"])
+                flag = np.repeat(np.array([r["open"] for r in rs]), n)
+                yield pa.RecordBatch.from_arrays([pa.array([tk.as_py()] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(flag), pa.array(np.concatenate(ws).view(np.int64))], ["tk", "s", "open", "w"])
 
-    seen = materialize(texts.mapInArrow(windows, "tk binary, s int, w long"), "word-windows")
+    seen = materialize(texts.mapInArrow(windows, "tk binary, s int, open boolean, w long"), "word-windows")
     twice = materialize(seen.groupBy("w").agg(F.min("tk").alias("t0"), F.max("tk").alias("t1")).filter("t0 <> t1").select("w"), "twice")
-    at = seen.join(twice, "w").groupBy("tk").agg(F.sort_array(F.collect_set("s")).alias("s"))
+    lone = seen.filter("open").join(twice, "w").groupBy("tk").agg(F.collect_set("s").alias("s"))
+    inside = cand.join(alike.select("key", "body"), ["key", "body"], "left_semi").groupBy("tk").agg(F.flatten(F.collect_list(F.sequence("a", F.col("a") + F.col("size") - 1))).alias("s"))
+    at = lone.unionByName(inside).groupBy("tk").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
     none = F.struct(F.lit(-words).alias("last"), F.lit(0).cast("long").alias("n"))
     cover = F.aggregate("s", none, lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(words), x - acc["last"])).alias("n")), lambda acc: acc["n"])
     count = F.size(F.regexp_extract_all(F.decode("b", "utf-8"), F.lit(WORD), F.lit(0))).cast("long")

@@ -351,7 +351,7 @@ def test_shared_words(spark, docs, none):
     word = lambda k: "".join(r.choices("abcdé", k=r.randrange(1, 4))) + str(k)
     passage = [word(k) for k in range(60)]
     own = lambda n, a: [f"o{a}x{k}" for k in range(n)]
-    texts = [" ".join(own(30, 1) + passage + own(20, 2)), "\n".join(own(7, 3) + passage + own(90, 4)), " ".join(own(70, 5) + passage[:50]), " ".join(passage[9:] + own(5, 6)), None, "", " ".join(own(60, 7)), " ".join(own(60, 7)), " ".join(own(40, 8)), " ".join(own(40, 8)), " ".join(own(51, 9) + own(51, 9))]
+    texts = [" ".join(own(30, 1) + passage + own(20, 2)), "\n".join(own(7, 3) + passage + own(90, 4)), " ".join(own(70, 5) + passage[:50]), " ".join(passage[9:] + own(5, 6)), None, "", " ".join(own(60, 7)), " ".join(own(60, 7)), " ".join(own(40, 8)), " ".join(own(40, 8)), " ".join(own(51, 9) + own(51, 9)), " ".join(own(3, 10) + passage + passage[:55] + own(3, 11)), " ".join(own(3, 10) + passage + passage[:53])]
     split = [(t or "").split() for t in texts]
     got = {bytes(x["tk"]): x["n_shared_words"] for x in repeats.shared_words(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     for i, (t, w) in enumerate(zip(texts, split)):
