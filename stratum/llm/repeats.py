@@ -54,7 +54,7 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def hashes(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashes(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, anchors: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """(gram hash at each place, anchor place and window hash of each window) of a piece of bytes, or of word hashes.
 
     Hashes of 2, 4, ... bytes come from those of half the size, and so do sliding minima.
@@ -73,6 +73,8 @@ def hashes(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
         w += (part[at : at + windows] ^ (part[at : at + windows] >> _U(29))) * _ODD[j]
         at, j = at + size, j + 1
     h = _finish(h)
+    if not anchors:
+        return h, None, _finish(w)
     # the hash's high bits over the place: the smallest is the leftmost of the smallest
     low = (h & ~_U(PIECE * 4 - 1)) | np.arange(len(h), dtype=_U)
     span, width = 1, length - gram + 1
@@ -148,19 +150,22 @@ def parts(text: bytes, starts: list[int], sizes: list[int], length: int = LENGTH
     core_length = length - STEP + 1
     offsets = [*range(0, core_length - gram, gram), core_length - gram]
     for ks, a, h, anchor, w in _slices(text, starts, sizes, length, gram):
-        for k in ks:
-            s = np.arange(starts[k] - a, starts[k] - a + sizes[k])
-            p = anchor[s[0]]
-            before = p - s
-            block = before // STEP
-            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            n = np.diff(np.r_[cut, len(s)])
-            b = block[cut]
-            core = b.astype(_U) * _ODD[61] + h[p]
-            for j, o in enumerate(offsets):
-                core = core + (h[p - STEP * b + o] ^ (h[p - STEP * b + o] >> _U(29))) * _ODD[j + 30]
-            body = np.add.reduceat(_finish(w[s] + before.astype(_U) * _ODD[60]), cut)
-            yield np.full(len(cut), k), s[cut] + a, n, _finish(core), _finish(body + n.astype(_U))
+        ks = np.array(ks)
+        n = np.array(sizes)[ks]
+        run = np.repeat(np.arange(len(ks)), n)
+        s = np.repeat(np.array(starts)[ks] - a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        p = anchor[s]  # one for all windows of a run
+        before = p - s
+        block = before // STEP
+        cut = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (block[1:] != block[:-1])])
+        count = np.diff(np.r_[cut, len(s)])
+        b, q = block[cut], p[cut]
+        core = b.astype(_U) * _ODD[61] + h[q]
+        for j, o in enumerate(offsets):
+            g = h[q - STEP * b + o]
+            core = core + (g ^ (g >> _U(29))) * _ODD[j + 30]
+        body = np.add.reduceat(_finish(w[s] + before.astype(_U) * _ODD[60]), cut)
+        yield ks[run[cut]], s[cut] + a, count, _finish(core), _finish(body + count.astype(_U))
 
 
 def cut(text: bytes, starts: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[bytes, int]:
@@ -312,12 +317,17 @@ def shared_words(docs: DataFrame, text_col: str = "text", words: int = PASSAGE)
 
     def windows(batches):
         for b in batches:
-            for tk, raw, rs in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ws = window_hashes(word_hashes(raw), [r["a"] for r in rs], [r["size"] for r in rs], words, WORD_GRAM)
-                n = np.array([len(w) for w in ws])
-                at = np.repeat(np.array([r["a"] for r in rs]) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                flag = np.repeat(np.array([r["open"] for r in rs]), n)
-                yield pa.RecordBatch.from_arrays([pa.array([tk.as_py()] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(flag), pa.array(np.concatenate(ws).view(np.int64))], ["tk", "s", "open", "w"])
+            for c in range(0, b.num_rows, 64):
+                part = b.slice(c, 64)
+                ws = [word_hashes(t) for t in part.column(1).to_pylist()]
+                first = np.cumsum([0, *map(len, ws[:-1])])
+                w = hashes(np.concatenate(ws), words, WORD_GRAM, anchors=False)[2]
+                runs_ = part.column(2)
+                of = np.repeat(np.arange(len(ws)), np.diff(runs_.offsets.to_numpy()))
+                a, n, flag = (runs_.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("a", "size", "open"))
+                at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                of = np.repeat(of, n)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(at, pa.int32()), pa.array(np.repeat(flag, n)), pa.array(w[first[of] + at].view(np.int64))], ["tk", "s", "open", "w"])
 
     seen = materialize(texts.mapInArrow(windows, "tk binary, s int, open boolean, w long"), "word-windows")
     twice = materialize(seen.groupBy("w").agg(F.min("tk").alias("t0"), F.max("tk").alias("t1")).filter("t0 <> t1").select("w"), "twice")
