@@ -40,6 +40,13 @@ class TextCorpus:
             self._index[kind] = i.cache()
         return self._index[kind]
 
+    def refresh(self, **tables: DataFrame) -> None:
+        """Puts changed tables in place; the indexes that rest on them are built anew when next asked for."""
+        self.t.update(tables)
+        rests = {"han": {"passage", "corpus"}, "ko": {"translation"}}
+        for kind in [k for k in self._index if not tables or rests[k] & set(tables)]:
+            self._index.pop(kind).unpersist()
+
     def _phrases(self, terms: list[str], mode: str) -> list[list[str]]:
         rows = self.spark.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(terms))], "i int, t string") if terms else None
         return [r["p"] for r in rows.orderBy("i").select(index_tokens(F.col("t"), mode).alias("p")).collect()] if terms else []
