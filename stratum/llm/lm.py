@@ -1,11 +1,11 @@
 r"""LM scoring with a causal self-attention model over subword ids, trained in numpy.
 
 Words are lower-cased (A-Z), and each, with a space before it, is cut into the ids of a public byte-level
-vocabulary; one end id closes a text. A text's probability is that of its ids. An id's probability is that of its
-class, times that of the id in its class. The logits of the ``CLASSES`` classes are a start from counts (after the
-last two ids, backed off to the last one) plus what one head of causal attention, with a learned bias for distance,
-reads in a window of ``2 * BLOCK`` ids; attention and its output are trained, the counts are the direct path. In a
-class an id goes by its counts after the last id, backed off to its own. Both factors are normalised. Classes are
+vocabulary; one end id closes a text. A text's probability is that of its ids. One head of causal attention, with a
+learned bias for distance, reads a window of ``2 * BLOCK`` ids, and its output gives a logit to every id: the softmax
+over ids is in two factors, an id's class among the ``CLASSES`` classes and the id in its class, each with trained
+output weights, each normalised. Both start from counts, the direct path: classes from those after the last two ids,
+backed off to the last one; an id in its class from those after the last id, backed off to its own. Classes are
 k-means groups of the ids by what they follow. Windows overlap by half: each holds ``BLOCK`` ids of context and
 scores the following ``BLOCK`` once each, in batched, masked attention.
 
@@ -14,8 +14,8 @@ training texts. Words are told by 64-bit hashes of their ids. Every training tex
 trains on every place of every window from the same start, and the parameters are averaged by the windows they rest
 on; the partial sums are added up in Spark, so the driver receives one model.
 
-Bounds on the model, not on the data: the ``INPUTS`` - 2 most used ids have rows, pairs and a class of their own
-among the first; other ids share a row and the last class, where they go by their own counts. The ``CONTEXTS`` most
+Bounds on the model, not on the data: the ``INPUTS`` - 2 most used ids have rows, pairs, output weights and a class of
+their own among the first; other ids share a row and the last class, where they go by their own counts. The ``CONTEXTS`` most
 used pairs have class counts of their own; after other pairs the last id decides alone. Every place is counted,
 taught and scored whatever its row.
 
@@ -53,7 +53,7 @@ HOT_WORDS = 400_000
 _PIECE, _CACHE, _CHUNK = 128, 200_000, 256
 #: Rows of BLOCK places in a step, each with all its places, and the rate of learning.
 STEP, RATE = 128, 0.1
-_PARAMS = ("eq", "ekv", "far", "wc")
+_PARAMS = ("eq", "ekv", "far", "wc", "wo")
 _RARE, _PAD = INPUTS - 2, INPUTS - 1
 _SLOTS = 1 << 20
 
@@ -154,7 +154,9 @@ def neighbours(x: np.ndarray, end_row: int):
 
 
 class Model:
-    """Class logits from counts, the attention's parameters, and counts of ids in their classes.
+    """Parameters of the attention and of its output, and the counts that classes and the ids in them start from.
+
+    ``wo`` has a row for each id with an input row, at its ``place``: the ids of a class lie side by side.
 
     ``pairs`` and ``pair_counts`` are of input rows, of all training texts; ``triples`` are the counts of each class
     after each context.
@@ -186,7 +188,28 @@ class Model:
         f = lambda *n: (rng.standard_normal(n) * 0.3).astype(np.float32)
         self.eq, self.ekv = f(INPUTS, D), f(INPUTS, 2 * D)
         self.far = -0.05 * np.arange(2 * BLOCK, dtype=np.float32)
-        self.wc = np.zeros((D, CLASSES), np.float32)
+        self.wc, self.wo = np.zeros((D, CLASSES), np.float32), np.zeros((INPUTS, D), np.float32)
+        by_place = np.argsort(self.class_of_row[: len(own)], kind="stable")
+        self.place = np.zeros(INPUTS, np.int64)
+        self.place[by_place] = np.arange(len(own))
+        self.bounds = np.searchsorted(self.class_of_row[by_place], np.arange(CLASSES + 1))
+        self.member_share = self.share[own[by_place]]
+        self.inside = None
+
+    def starts_inside(self) -> list[np.ndarray]:
+        """For each class, its ids' probabilities in it after each input, from counts: (INPUTS, ids of the class)."""
+        if self.inside is None:
+            n = np.zeros((INPUTS, self.bounds[-1]), np.float32)
+            own = self.class_of_row[self.pairs % INPUTS] < CLASSES - 1
+            n[self.pairs[own] // INPUTS, self.place[self.pairs[own] % INPUTS]] = self.pair_counts[own]
+            self.inside = []
+            for c, (a, b) in enumerate(zip(self.bounds[:-1], self.bounds[1:])):
+                x = n[:, a:b] + np.float32(BACK_ID) * self.member_share[a:b].astype(np.float32)
+                self.inside.append(x / (self.by_class[:, c, None] + BACK_ID).astype(np.float32))
+        return self.inside
+
+    def __getstate__(self):
+        return self.__dict__ | {"inside": None}  # made again where it is used
 
     def with_triples(self, triples: np.ndarray) -> "Model":
         """``triples``: (contexts, CLASSES), in the contexts' own numbering."""
@@ -231,18 +254,47 @@ class Model:
         z /= z.sum(1, keepdims=True)
         return z
 
-    def in_class(self, one: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Probability of each id in its class after the input ``one``."""
-        row = self.row[ids]
-        key = one.astype(np.int64) * INPUTS + row
-        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        n = np.where(self.pairs[at] == key, self.pair_counts[at], 0) if len(self.pairs) else np.zeros(len(key))
-        p = (n + BACK_ID * self.share[ids]) / (self.by_class[one, self.cls[ids]] + BACK_ID)
-        return np.where(row == _RARE, self.share[ids], p)
+    def in_class(self, h: np.ndarray, one: np.ndarray, ids: np.ndarray, grads: bool = False):
+        """Probability of each id in its class with the attention's outputs, after the inputs ``one``.
+
+        With ``grads``, also the gradients of the summed negative logs: of ``h``, of ``wo``.
+        """
+        inside, p = self.starts_inside(), self.share[ids]
+        dh, dw = (np.zeros_like(h), np.zeros_like(self.wo)) if grads else (None, None)
+        cls = self.cls[ids].astype(np.uint8)
+        order = np.argsort(cls, kind="stable")
+        ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
+        hs, ones, places, got = h[order], one[order], self.place[self.row[ids[order]]], p[order]
+        back = np.zeros_like(hs) if grads else None
+        for c, (a, b) in enumerate(zip(ends - np.diff(ends, prepend=0), ends)):
+            lo, hi = self.bounds[c], self.bounds[c + 1]
+            if a == b or hi == lo:  # none here, or the class of ids without rows
+                continue
+            if hi - lo == 1:
+                got[a:b] = 1
+                continue
+            w, x = self.wo[lo:hi], hs[a:b]
+            z = x @ w.T
+            np.clip(z, -40, 40, out=z)
+            np.exp(z, out=z)
+            z *= inside[c].take(ones[a:b], 0)
+            total = z @ np.ones(hi - lo, np.float32)
+            at = (np.arange(b - a), places[a:b] - lo)
+            got[a:b] = z[at] / total
+            if grads:
+                z *= (1 / total)[:, None]
+                z[at] -= 1
+                back[a:b] = z @ w
+                dw[lo:hi] = z.T @ x
+        p[order] = got
+        if not grads:
+            return p
+        dh[order] = back
+        return p, dh, dw
 
     def log_probs(self, h: np.ndarray, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of the probabilities of the ids."""
-        return np.log(self.class_probs(h, one, two)[np.arange(len(ids)), self.cls[ids]] * self.in_class(one, ids))
+        return np.log(self.class_probs(h, one, two)[np.arange(len(ids)), self.cls[ids]] * self.in_class(h, one, ids))
 
     def gradients(self, win: np.ndarray, y: np.ndarray):
         """(mean loss, gradients of the summed loss by parameter, targets). Those of tables: (rows, gradient of each place)."""
@@ -252,16 +304,17 @@ class Model:
         m = len(one)
         z = self.class_probs(h[use], one, two)
         c, at = self.cls[y[use]], np.arange(m)
-        loss = -np.log(z[at, c] + 1e-9).sum() / m
+        inside, below, wo = self.in_class(h[use], one, y[use], True)
+        loss = -np.log(z[at, c] * inside + 1e-30).sum() / m
         z[at, c] -= 1
         dh = np.zeros_like(h)
-        dh[use] = z @ self.wc.T
+        dh[use] = z @ self.wc.T + below
         da = np.matmul(dh, v.transpose(0, 2, 1))
         da -= (a * da).sum(2, keepdims=True)
         da *= a
         dkv = np.concatenate([np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)], 2)
         far = np.bincount(np.abs(dist).ravel(), da.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
-        return float(loss), {"wc": h[use].T @ z, "far": far, "eq": (win[:, BLOCK:].ravel(), np.matmul(da, k).reshape(-1, D)), "ekv": (win.ravel(), dkv.reshape(-1, 2 * D))}, m
+        return float(loss), {"wc": h[use].T @ z, "wo": wo, "far": far, "eq": (win[:, BLOCK:].ravel(), np.matmul(da, k).reshape(-1, D)), "ekv": (win.ravel(), dkv.reshape(-1, 2 * D))}, m
 
     def step(self, win: np.ndarray, y: np.ndarray, acc: dict, rate: float) -> float:
         """One Adagrad step on every place of the windows; the loss."""
