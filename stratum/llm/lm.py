@@ -6,7 +6,7 @@ learned bias for distance, reads a window of ``2 * BLOCK`` ids, and its output g
 over ids is in two factors, an id's class among the ``CLASSES`` classes and the id in its class, each with trained
 output weights, each normalised. Both start from counts, the direct path: classes from those after the last two ids,
 backed off to the last one; an id in its class from those after the last id, backed off to its own. Classes are
-k-means groups of the ids by what they follow. Windows overlap by half: each holds ``BLOCK`` ids of context and
+k-means groups of the ids by what they follow, in bands of use. Windows overlap by half: each holds ``BLOCK`` ids of context and
 scores the following ``BLOCK`` once each, in batched, masked attention.
 
 Gathered from the whole corpus, without cap: counts of all words, all ids and all pairs of neighbouring ids of all
@@ -50,12 +50,15 @@ INPUTS, CLASSES, CONTEXTS = 2048, 32, 1 << 16
 #: Strength of what counts are backed off to: the class after one id, after two, and the id in its class.
 BACK_ONE, BACK_TWO, BACK_ID = 8.0, 8.0, 8.0
 HOT_WORDS = 400_000
-_PIECE, _CACHE, _CHUNK = 128, 200_000, 256
+_PIECE, _CACHE, _CHUNK, _PART = 128, 200_000, 1024, 4096
 #: Rows of BLOCK places in a step, each with all its places, and the rate of learning.
 STEP, RATE = 128, 0.1
 _PARAMS = ("eq", "ekv", "far", "wc", "wo")
 _RARE, _PAD = INPUTS - 2, INPUTS - 1
 _SLOTS = 1 << 20
+#: Where, in the ids with rows from the most used, a band of classes ends and the next begins.
+_BANDS = (1 / 32, 1 / 8, 3 / 8)
+_DIST = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
 
 
 def ranks(path: str = TOKENIZER) -> dict[bytes, int]:
@@ -96,14 +99,30 @@ def input_rows(counts: np.ndarray) -> np.ndarray:
     """The input row of each id, and of padding: the most used have their own."""
     top = np.argsort(-counts, kind="stable")[:_RARE]
     top = top[counts[top] > 0]
-    row = np.full(len(counts) + 1, _RARE, np.int32)
+    row = np.full(len(counts) + 1, _RARE, np.int64)
     row[top] = np.arange(len(top))
     row[-1] = _PAD
     return row
 
 
 def word_classes(after: np.ndarray, weight: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A class for each row of ``after`` (how often it follows each other): weighted k-means in a space of few dimensions."""
+    """A class for each row of ``after`` (how often it follows each other), most used first, in bands of use.
+
+    A softmax over a class costs its size at each use, so the much used ids are in small classes.
+    """
+    n = len(after)
+    if n <= k:
+        return np.arange(n)
+    out, first = np.zeros(n, np.int64), 0
+    for i, (a, b) in enumerate(zip((0, *_BANDS), (*_BANDS, 1))):
+        a, b, last = int(n * a), int(n * b), k * (i + 1) // (len(_BANDS) + 1)
+        out[a:b] = first + _means(after[a:b], weight[a:b], last - first, seed)
+        first = last
+    return out
+
+
+def _means(after: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Weighted k-means in a space of few dimensions."""
     n = len(after)
     if n <= k:
         return np.arange(n)
@@ -174,6 +193,7 @@ class Model:
         if len(own):
             self.class_of_row[: len(own)] = word_classes(after[: len(own)], counts[own].astype(float), CLASSES - 1)
         self.cls = self.class_of_row[self.row[:-1]]
+        self.cls8 = self.cls.astype(np.uint8)
         plus = counts + 1.0
         total = np.bincount(self.cls, plus, CLASSES)
         self.share = plus / total[self.cls]
@@ -232,89 +252,121 @@ class Model:
         return self
 
     def attention(self, win: np.ndarray):
-        """(n, BLOCK, D) outputs for rows of BLOCK inputs behind the BLOCK inputs before them, and what led to them."""
-        kv, q = self.ekv[win], self.eq[win[:, BLOCK:]]
+        """(n, BLOCK, D) outputs for rows of BLOCK inputs behind the BLOCK inputs before them, and what led to them.
+
+        These are the weights before they are divided by their sums, queries, keys, values, and the sums. The row before
+        is all padding or none, and behind a text's last place nothing is read, so a mask by rows is enough.
+        """
+        kv, q = self.ekv.take(win, 0), self.eq.take(win[:, BLOCK:], 0)
         k, v = kv[:, :, :D], kv[:, :, D:]
         a = np.matmul(q, k.transpose(0, 2, 1))
-        dist = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
-        a += np.where(dist >= 0, self.far[np.abs(dist)], -1e4).astype(np.float32)
-        a += np.where(win == _PAD, np.float32(-1e4), np.float32(0))[:, None, :]
+        a += np.where(_DIST >= 0, self.far[np.abs(_DIST)], -1e4).astype(np.float32)
+        a[win[:, 0] == _PAD, :, :BLOCK] = -1e4
         np.clip(a, -80, 40, out=a)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        return np.matmul(a, v), a, q, k, v, dist
-
-    def class_probs(self, h: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Probabilities of all classes after the inputs ``two``, ``one`` and with the attention's outputs."""
-        there, at = self.contexts.find(two.astype(np.int64) * INPUTS + one)
-        z = self.start[np.where(there, INPUTS + at, one)] if len(self.start) > INPUTS else self.start[one]
+        total = (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, np.float32)).reshape(-1, BLOCK, 1)
+        h = np.matmul(a, v)
+        h /= total
+        return h, a, q, k, v, total
+
+    def class_weights(self, h: np.ndarray, one: np.ndarray, two: np.ndarray):
+        """(weights of all classes after the inputs ``two``, ``one`` and with the attention's outputs, their sums)."""
+        there, at = self.contexts.find(two * INPUTS + one)
+        z = self.start.take(np.where(there, INPUTS + at, one), 0) if len(self.start) > INPUTS else self.start.take(one, 0)
         z += h @ self.wc
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -80, 80, out=z)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
+        return z, z @ np.ones(CLASSES, np.float32)
 
     def in_class(self, h: np.ndarray, one: np.ndarray, ids: np.ndarray, grads: bool = False):
         """Probability of each id in its class with the attention's outputs, after the inputs ``one``.
 
         With ``grads``, also the gradients of the summed negative logs: of ``h``, of ``wo``.
         """
-        inside, p = self.starts_inside(), self.share[ids]
-        dh, dw = (np.zeros_like(h), np.zeros_like(self.wo)) if grads else (None, None)
-        cls = self.cls[ids].astype(np.uint8)
-        order = np.argsort(cls, kind="stable")
-        ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
-        hs, ones, places, got = h[order], one[order], self.place[self.row[ids[order]]], p[order]
-        back = np.zeros_like(hs) if grads else None
-        for c, (a, b) in enumerate(zip(ends - np.diff(ends, prepend=0), ends)):
-            lo, hi = self.bounds[c], self.bounds[c + 1]
-            if a == b or hi == lo:  # none here, or the class of ids without rows
-                continue
-            if hi - lo == 1:
-                got[a:b] = 1
-                continue
-            w, x = self.wo[lo:hi], hs[a:b]
-            z = x @ w.T
-            np.clip(z, -40, 40, out=z)
-            np.exp(z, out=z)
-            z *= inside[c].take(ones[a:b], 0)
-            total = z @ np.ones(hi - lo, np.float32)
-            at = (np.arange(b - a), places[a:b] - lo)
-            got[a:b] = z[at] / total
+        cls = self.cls8.take(ids)
+        if (cls[1:] < cls[:-1]).any():
+            order = np.argsort(cls, kind="stable")
+            got = self.in_class(h[order], one[order], ids[order], grads)
+            back = np.argsort(order)
+            return (got[0][back], got[1][back], got[2]) if grads else got[back]
+        # by class now
+        inside, n, size = self.starts_inside(), np.bincount(cls, minlength=CLASSES), np.diff(self.bounds)
+        p, dh, dw = np.empty(len(ids)), np.zeros_like(h) if grads else None, np.zeros_like(self.wo) if grads else None
+        cells = np.cumsum(n * size)  # of all classes' tables (places, ids of the class), one behind the other
+        z, start = np.empty(cells[-1], np.float32), np.empty(cells[-1], np.float32)
+        some = []
+        for c, (k, b, d, lo, e) in enumerate(zip(n.tolist(), np.cumsum(n).tolist(), size.tolist(), self.bounds.tolist(), cells.tolist())):
+            if k and d:  # not the class of ids without rows
+                zc, to, rows = z[e - k * d : e].reshape(k, d), slice(b - k, b), slice(lo, lo + d)
+                np.matmul(h[to], self.wo[rows].T, out=zc)
+                inside[c].take(one[to], 0, out=start[e - k * d : e].reshape(k, d), mode="clip")
+                some.append((zc, to, rows))
+        np.clip(z, -40, 40, out=z)
+        np.exp(z, out=z)
+        z *= start
+        own = len(ids) - int(n[-1])  # the class of ids without rows is the last
+        p[own:] = self.share.take(ids[own:])
+        if own:
+            each = np.repeat(size, n)[:own]
+            first = np.cumsum(each) - each
+            total = np.add.reduceat(z, first)
+            at = first + self.place.take(self.row.take(ids[:own])) - np.repeat(self.bounds[:-1], n)[:own]
+            p[:own] = z.take(at) / total
             if grads:
-                z *= (1 / total)[:, None]
+                z *= np.repeat(1 / total, each)
                 z[at] -= 1
-                back[a:b] = z @ w
-                dw[lo:hi] = z.T @ x
-        p[order] = got
         if not grads:
             return p
-        dh[order] = back
+        for zc, to, rows in some:
+            np.matmul(zc, self.wo[rows], out=dh[to])
+            np.matmul(zc.T, h[to], out=dw[rows])
         return p, dh, dw
 
     def log_probs(self, h: np.ndarray, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of the probabilities of the ids."""
-        return np.log(self.class_probs(h, one, two)[np.arange(len(ids)), self.cls[ids]] * self.in_class(h, one, ids))
+        out = np.empty(len(ids))
+        for a in range(0, len(ids), _PART):
+            part = a + np.argsort(self.cls8.take(ids[a : a + _PART]), kind="stable")  # by class
+            z, total = self.class_weights(h[part], one[part], two[part])
+            p = z.ravel().take(np.arange(len(z)) * CLASSES + self.cls.take(ids[part])) / total
+            out[part] = np.log(p * self.in_class(h[part], one[part], ids[part]))
+        return out
 
     def gradients(self, win: np.ndarray, y: np.ndarray):
-        """(mean loss, gradients of the summed loss by parameter, targets). Those of tables: (rows, gradient of each place)."""
-        use = y >= 0
-        h, a, q, k, v, dist = self.attention(win)
-        one, two = (x[use] for x in neighbours(win, self.end_row))
-        m = len(one)
-        z = self.class_probs(h[use], one, two)
-        c, at = self.cls[y[use]], np.arange(m)
-        inside, below, wo = self.in_class(h[use], one, y[use], True)
-        loss = -np.log(z[at, c] * inside + 1e-30).sum() / m
-        z[at, c] -= 1
+        """(mean loss, gradients of the summed loss by parameter, targets). Those of tables: (rows, gradient of each)."""
+        use = np.flatnonzero(y.ravel() >= 0)
+        use = use.take(np.argsort(self.cls8.take(y.ravel().take(use)), kind="stable"))  # by class
+        h, a, q, k, v, total = self.attention(win)
+        one, two = (x.ravel().take(use) for x in neighbours(win, self.end_row))
+        ids, hu = y.ravel().take(use), h.reshape(-1, D).take(use, 0)
+        m = len(use)
+        z, sums = self.class_weights(hu, one, two)
+        z /= sums[:, None]
+        inside, back, wo = self.in_class(hu, one, ids, True)
+        at = np.arange(m) * CLASSES + self.cls.take(ids)
+        loss = -np.log(z.ravel().take(at) * inside + 1e-30).sum() / m
+        z.ravel()[at] -= 1
+        back += z @ self.wc.T
         dh = np.zeros_like(h)
-        dh[use] = z @ self.wc.T + below
+        dh.reshape(-1, D)[use] = back
+        dh /= total  # so that the weights need not be divided
         da = np.matmul(dh, v.transpose(0, 2, 1))
-        da -= (a * da).sum(2, keepdims=True)
+        da -= np.einsum("nid,nid->ni", dh, h)[:, :, None]
         da *= a
-        dkv = np.concatenate([np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)], 2)
-        far = np.bincount(np.abs(dist).ravel(), da.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
-        return float(loss), {"wc": h[use].T @ z, "wo": wo, "far": far, "eq": (win[:, BLOCK:].ravel(), np.matmul(da, k).reshape(-1, D)), "ekv": (win.ravel(), dkv.reshape(-1, 2 * D))}, m
+        far = np.bincount(np.abs(_DIST).ravel(), np.ones(len(da), np.float32) @ da.reshape(len(da), -1), 2 * BLOCK).astype(np.float32)
+        # of each place: its query, key and value, the latter two with what the next window adds
+        g = np.empty((len(win), BLOCK, 3 * D), np.float32)
+        np.matmul(da, k, out=g[:, :, :D])
+        dk, dv = np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)
+        g[:, :, D : 2 * D], g[:, :, 2 * D :] = dk[:, BLOCK:], dv[:, BLOCK:]
+        behind = np.r_[False, (win[1:, :BLOCK] == win[:-1, BLOCK:]).all(1)]
+        alone = np.flatnonzero(~behind & (win[:, 0] != _PAD))
+        first = np.concatenate([np.zeros((len(alone), BLOCK, D), np.float32), dk[alone, :BLOCK], dv[alone, :BLOCK]], 2)
+        dk[~behind, :BLOCK], dv[~behind, :BLOCK] = 0, 0
+        g[:-1, :, D : 2 * D] += dk[1:, :BLOCK]
+        g[:-1, :, 2 * D :] += dv[1:, :BLOCK]
+        rows, g = _row_sums(np.r_[win[:, BLOCK:].ravel(), win[alone, :BLOCK].ravel()], np.concatenate([g, first]).reshape(-1, 3 * D))
+        return float(loss), {"wc": hu.T @ z, "wo": wo, "far": far, "eq": (rows, g[:, :D]), "ekv": (rows, g[:, D:])}, m
 
     def step(self, win: np.ndarray, y: np.ndarray, acc: dict, rate: float) -> float:
         """One Adagrad step on every place of the windows; the loss."""
@@ -323,17 +375,24 @@ class Model:
             x = getattr(self, name)
             c = acc.setdefault(name, np.full(x.shape, 1e-2, np.float32))
             rows = slice(None)
-            if isinstance(g, tuple):  # sums over the places of each input
-                order = np.argsort(g[0], kind="stable")
-                ids = g[0][order]
-                cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                rows, g = ids[cut], np.add.reduceat(g[1][order], cut, 0)
+            if isinstance(g, tuple):
+                rows, g = g
             g = g * np.float32(64 / m)
-            c[rows] += g * g
-            x[rows] -= rate * g / np.sqrt(c[rows])
+            to = c[rows] + g * g
+            c[rows] = to
+            x[rows] -= rate * g / np.sqrt(to)
         return loss
 
 
+def _row_sums(rows: np.ndarray, g: np.ndarray):
+    """(rows, sum of ``g`` over the places of each)."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    ids = rows.take(order)
+    cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    pairs = g.take(order, 0).view(np.complex64)  # two columns at once
+    return ids[cut], np.add.reduceat(pairs, cut, 0).view(np.float32)
+
+
 def layout(seqs: list[np.ndarray], pad: int, end: int):
     """(inputs, targets, sequence number) in rows of BLOCK; a row of padding before each sequence."""
     sizes = np.array([len(s) for s in seqs])
@@ -363,10 +422,11 @@ def score_sequences(m: Model, seqs: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(seqs))
     for a in range(0, len(win), _CHUNK):
         w, t = win[a : a + _CHUNK], y[a : a + _CHUNK]
-        use = t >= 0
-        one, two = (x[use] for x in neighbours(w, m.end_row))
-        lp = m.log_probs(m.attention(w)[0][use], one, two, t[use])
-        out += np.bincount(np.repeat(of[a : a + _CHUNK], use.sum(1)), lp, len(seqs))
+        use = np.flatnonzero(t.ravel() >= 0)
+        h = np.concatenate([m.attention(w[b : b + STEP])[0] for b in range(0, len(w), STEP)]).reshape(-1, D)
+        one, two = (x.ravel().take(use) for x in neighbours(w, m.end_row))
+        lp = m.log_probs(h.take(use, 0), one, two, t.ravel().take(use))
+        out += np.bincount(np.repeat(of[a : a + _CHUNK], BLOCK).take(use), lp, len(seqs))
     return out
 
 

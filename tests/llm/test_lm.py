@@ -77,3 +77,14 @@ def test_every_place_teaches_every_parameter():
     lone = np.bincount(m.class_of_row[m.row[np.unique(y[y >= 0])]], minlength=lm.CLASSES) < 2
     taught = [m.place[r] for r in m.row[np.unique(y[y >= 0])] if not lone[m.class_of_row[r]]]
     assert len(taught) > 20 and (m.wo != before)[taught].any(1).all()
+
+
+def test_much_used_ids_are_in_small_classes():
+    """A softmax in a class costs the class's size at each use; all in classes of equal size would cost 64."""
+    rng = np.random.default_rng(8)
+    use = (1e8 / np.arange(1, 1985) ** 1.4).astype(int)
+    topic = rng.integers(0, 12, len(use))
+    after = rng.poisson(use[:, None] / 400 * (rng.random((12, 300)) ** 4)[topic])
+    cls = lm.word_classes(after.astype(np.float32), use.astype(float), lm.CLASSES - 1)
+    sizes = np.bincount(cls, minlength=lm.CLASSES - 1)
+    assert sizes.sum() == len(use) and (sizes[cls] * use).sum() / use.sum() < 32
