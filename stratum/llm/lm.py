@@ -35,6 +35,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ INPUTS, CLASSES, CONTEXTS = 2048, 32, 1 << 16
 #: Strength of what counts are backed off to: the class after one id, after two, and the id in its class.
 BACK_ONE, BACK_TWO, BACK_ID = 8.0, 8.0, 8.0
 HOT_WORDS = 400_000
-_PIECE, _CACHE, _CHUNK, _PART = 128, 200_000, 1024, 4096
+_PIECE, _CACHE, _CHUNK, _PART, _CELLS, _RUNS = 128, 400_000, 8192, 4096, 1 << 16, 32
 #: Rows of BLOCK places in a step, each with all its places, and the rate of learning.
 STEP, RATE = 128, 0.1
 _PARAMS = ("eq", "ekv", "far", "wc", "wo")
@@ -58,7 +59,9 @@ _RARE, _PAD = INPUTS - 2, INPUTS - 1
 _SLOTS = 1 << 20
 #: Where, in the ids with rows from the most used, a band of classes ends and the next begins.
 _BANDS = (1 / 32, 1 / 8, 3 / 8)
+_ONES = np.ones((INPUTS, 1), np.float32)
 _DIST = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
+_FAR, _SEEN = np.abs(_DIST), (_DIST >= 0).astype(np.float32)
 
 
 def ranks(path: str = TOKENIZER) -> dict[bytes, int]:
@@ -75,7 +78,7 @@ def word_starts(table: dict[bytes, int]) -> np.ndarray:
 
 
 class Subwords:
-    """Ids of words, remembered for the most recent ones."""
+    """Ids of words."""
 
     def __init__(self, table: dict[bytes, int]):
         self._enc = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=table, special_tokens={})
@@ -90,6 +93,80 @@ class Subwords:
             out += self._enc.encode_ordinary(s[a : a + _PIECE])
         return out
 
+    def all_ids(self, words: list[bytes]):
+        """(ids of all the words, where each word's begin, how many it has); the words in any order.
+
+        Words without white space of any script are cut in one call, as no piece of the pattern goes across a space there.
+        """
+        texts = [w.decode("utf-8", "replace") for w in words]
+        easy = np.array([len(t) < _PIECE and t.split() == [t] for t in texts], bool)
+        flat = self._enc.encode_ordinary("".join([" " + t for t, e in zip(texts, easy.tolist()) if e]))
+        rest = [self.ids(words[i]) for i in np.flatnonzero(~easy)]
+        size = np.empty(len(words), np.int64)
+        at = np.flatnonzero(self.starts[flat])
+        size[easy], size[~easy] = np.diff(at, append=len(flat)), [len(x) for x in rest]
+        order = np.r_[np.flatnonzero(easy), np.flatnonzero(~easy)]
+        first = np.empty(len(words), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([np.array(flat, np.uint16), *(np.array(x, np.uint16) for x in rest)]), first, size
+
+
+class Lexicon(dict):
+    """Numbers of words in order of first use, their ids, and how often they were counted. Number 0, no word, is the end."""
+
+    def __init__(self, sub: Subwords):
+        self.sub, self.fresh = sub, []
+        self[b""] = 0
+        self.flat, self.first, self.size = np.array([sub.end], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.counts = np.zeros(1, np.int64)
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self)
+        self.fresh.append(w)
+        return n
+
+    def _numbers(self, texts: pa.Array):
+        """(numbers of all words, the end behind each text's; words of each text, the end with them)"""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words, bounds = lists.flatten(), lists.offsets.to_numpy()
+        real = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty one
+        upto = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+        n = np.diff(upto.take(bounds - bounds[0]))
+        coded = words.filter(real).dictionary_encode()  # so that each word of these texts is looked up once
+        once = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        once = pc.binary_join(once, " ")[0].as_py().encode().split()
+        number = np.fromiter(map(self.__getitem__, once), np.int64, len(once))
+        out = np.zeros(len(coded) + len(n), np.int64)
+        out[np.arange(len(coded)) + np.repeat(np.arange(len(n)), n)] = number.take(coded.indices.to_numpy())
+        return out, n + 1
+
+    def cut(self, texts):
+        """(numbers of all words, the end behind each text's; words of each text, the end with them; ids; ids of each text)."""
+        numbers, n = self._numbers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        if self.fresh:
+            flat, first, size = self.sub.all_ids(self.fresh)
+            self.first, self.size = np.r_[self.first, len(self.flat) + first], np.r_[self.size, size]
+            self.flat, self.counts = np.r_[self.flat, flat], np.r_[self.counts, np.zeros(len(size), np.int64)]
+            self.fresh = []
+        size = self.size.take(numbers)
+        upto = np.cumsum(size)
+        at = np.repeat(self.first.take(numbers) - upto + size, size)
+        at += np.arange(len(at))
+        return numbers, n, self.flat.take(at), np.diff(upto.take(np.cumsum(n) - 1), prepend=0)
+
+    def count(self, numbers: np.ndarray) -> None:
+        self.counts += np.bincount(numbers, minlength=len(self))
+
+    def full(self) -> bool:
+        return len(self) > _CACHE or len(self.flat) > 16 * _CACHE
+
+    def counted(self):
+        """(hashes of the words that were counted, how often; how often each id was)"""
+        order = np.argsort(self.first)  # as their ids lie
+        c = self.counts[order]
+        ids = np.bincount(self.flat, np.repeat(c, self.size[order]), self.sub.size).astype(np.int64)  # whole below 2 ** 53
+        return word_hashes(self.flat, self.sub.starts)[c > 0], c[c > 0], ids
+
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
@@ -166,10 +243,12 @@ def contexts(pairs: np.ndarray, pair_counts: np.ndarray) -> Keys:
     return Keys(pairs[top[::-1]])  # so that the more used one stays
 
 
-def neighbours(x: np.ndarray, end_row: int):
-    """(inputs, the inputs before them) of rows of BLOCK places with the row before: what is no input counts as an end."""
-    two = x[:, BLOCK - 1 : -1]
-    return x[:, BLOCK:], np.where(two == _PAD, end_row, two)
+def neighbours(win: np.ndarray, use: np.ndarray, end_row: int):
+    """(inputs, the inputs before them) at the places ``use`` of rows of BLOCK with the row before: what is no input counts as an end."""
+    at, flat = use + use // BLOCK * BLOCK + BLOCK, win.ravel()
+    two = flat.take(at - 1)
+    two[two == _PAD] = end_row
+    return flat.take(at), two
 
 
 class Model:
@@ -213,8 +292,9 @@ class Model:
         self.place = np.zeros(INPUTS, np.int64)
         self.place[by_place] = np.arange(len(own))
         self.bounds = np.searchsorted(self.class_of_row[by_place], np.arange(CLASSES + 1))
+        self.sizes = np.diff(self.bounds)
         self.member_share = self.share[own[by_place]]
-        self.inside = None
+        self.inside = self.at = None
 
     def starts_inside(self) -> list[np.ndarray]:
         """For each class, its ids' probabilities in it after each input, from counts: (INPUTS, ids of the class)."""
@@ -228,8 +308,17 @@ class Model:
                 self.inside.append(x / (self.by_class[:, c, None] + BACK_ID).astype(np.float32))
         return self.inside
 
+    def starts_at(self) -> np.ndarray:
+        """For each pair of inputs, the row of ``start`` that their classes start from: their own, or the last input's."""
+        if self.at is None:
+            self.at = np.tile(np.arange(INPUTS, dtype=np.int32), INPUTS)
+            if len(self.start) > INPUTS:
+                there = self.contexts.key >= 0
+                self.at[self.contexts.key[there]] = INPUTS + self.contexts.value[there]
+        return self.at
+
     def __getstate__(self):
-        return self.__dict__ | {"inside": None}  # made again where it is used
+        return self.__dict__ | {"inside": None, "at": None}  # made again where they are used
 
     def with_triples(self, triples: np.ndarray) -> "Model":
         """``triples``: (contexts, CLASSES), in the contexts' own numbering."""
@@ -238,6 +327,7 @@ class Model:
         keys[self.contexts.value[there]] = self.contexts.key[there]
         two = (triples + BACK_TWO * self.one[keys % INPUTS]) / (triples.sum(1, keepdims=True) + BACK_TWO)
         self.start = np.log(np.maximum(np.concatenate([self.one, two]), 1e-30)).astype(np.float32)
+        self.at = None
         return self
 
     def vector(self) -> np.ndarray:
@@ -254,126 +344,159 @@ class Model:
     def attention(self, win: np.ndarray):
         """(n, BLOCK, D) outputs for rows of BLOCK inputs behind the BLOCK inputs before them, and what led to them.
 
-        These are the weights before they are divided by their sums, queries, keys, values, and the sums. The row before
-        is all padding or none, and behind a text's last place nothing is read, so a mask by rows is enough.
+        These are the weights before they are divided by their sums, queries, keys and values, and the sums. The row before
+        is all padding or none, and behind a text's last place nothing is read, so a mask by rows is enough. What is masked
+        weighs exactly 0: products with the least numbers, as of a very small weight, take a hundred times as long.
         """
         kv, q = self.ekv.take(win, 0), self.eq.take(win[:, BLOCK:], 0)
-        k, v = kv[:, :, :D], kv[:, :, D:]
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a += np.where(_DIST >= 0, self.far[np.abs(_DIST)], -1e4).astype(np.float32)
-        a[win[:, 0] == _PAD, :, :BLOCK] = -1e4
-        np.clip(a, -80, 40, out=a)
+        a = np.matmul(q, np.ascontiguousarray(kv[:, :, :D].transpose(0, 2, 1)))
+        a += self.far.take(_FAR)
+        _within(a, -80, 40)
         np.exp(a, out=a)
-        total = (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, np.float32)).reshape(-1, BLOCK, 1)
-        h = np.matmul(a, v)
-        h /= total
-        return h, a, q, k, v, total
-
-    def class_weights(self, h: np.ndarray, one: np.ndarray, two: np.ndarray):
-        """(weights of all classes after the inputs ``two``, ``one`` and with the attention's outputs, their sums)."""
-        there, at = self.contexts.find(two * INPUTS + one)
-        z = self.start.take(np.where(there, INPUTS + at, one), 0) if len(self.start) > INPUTS else self.start.take(one, 0)
+        a *= _SEEN
+        a[win[:, 0] == _PAD, :, :BLOCK] = 0
+        total = (a.reshape(-1, 2 * BLOCK) @ _ONES[: 2 * BLOCK]).reshape(-1, BLOCK, 1)
+        return np.matmul(a, kv)[:, :, D:] / total, a, q, kv, total  # both halves at once are the faster product
+
+    def class_weights(self, h: np.ndarray, at: np.ndarray):
+        """(weights of all classes with the attention's outputs, from the rows ``at`` of ``start``; their sums)."""
+        z = self.start.take(at, 0)
         z += h @ self.wc
-        np.clip(z, -80, 80, out=z)
+        _within(z, -80, 80)
         np.exp(z, out=z)
-        return z, z @ np.ones(CLASSES, np.float32)
-
-    def in_class(self, h: np.ndarray, one: np.ndarray, ids: np.ndarray, grads: bool = False):
-        """Probability of each id in its class with the attention's outputs, after the inputs ``one``.
+        return z, (z @ _ONES[:CLASSES]).ravel()
 
-        With ``grads``, also the gradients of the summed negative logs: of ``h``, of ``wo``.
-        """
+    def in_class(self, h: np.ndarray, one: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Probability of each id in its class with the attention's outputs, after the inputs ``one``."""
+        p, inside, wt = self.share.take(ids), self.starts_inside(), np.ascontiguousarray(self.wo.T)
         cls = self.cls8.take(ids)
-        if (cls[1:] < cls[:-1]).any():
-            order = np.argsort(cls, kind="stable")
-            got = self.in_class(h[order], one[order], ids[order], grads)
-            back = np.argsort(order)
-            return (got[0][back], got[1][back], got[2]) if grads else got[back]
-        # by class now
-        inside, n, size = self.starts_inside(), np.bincount(cls, minlength=CLASSES), np.diff(self.bounds)
-        p, dh, dw = np.empty(len(ids)), np.zeros_like(h) if grads else None, np.zeros_like(self.wo) if grads else None
-        cells = np.cumsum(n * size)  # of all classes' tables (places, ids of the class), one behind the other
-        z, start = np.empty(cells[-1], np.float32), np.empty(cells[-1], np.float32)
-        some = []
-        for c, (k, b, d, lo, e) in enumerate(zip(n.tolist(), np.cumsum(n).tolist(), size.tolist(), self.bounds.tolist(), cells.tolist())):
+        order, ends = np.argsort(cls, kind="stable"), np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
+        place = self.place.take(self.row.take(ids))
+        for c, (lo, hi) in enumerate(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist())):
+            if hi == lo:  # the class of ids without rows
+                continue
+            part = max(1, _CELLS // (hi - lo))
+            for a in range(ends[c - 1] if c else 0, ends[c], part):
+                use = order[a : min(a + part, ends[c])]
+                z = h.take(use, 0) @ wt[:, lo:hi]
+                _within(z, -40, 40)
+                np.exp(z, out=z)
+                z *= inside[c].take(one.take(use), 0)
+                p[use] = z.ravel().take(np.arange(len(use)) * (hi - lo) + place.take(use) - lo) / (z @ _ONES[: hi - lo]).ravel()
+        return p
+
+    def places(self, win: np.ndarray, y: np.ndarray, step: int):
+        """For each run of ``step`` windows what no parameter decides, made for all at once.
+
+        The places with a target, by class; their ids, classes and inputs, and the rows of ``start``; of their ids' classes,
+        the sizes, where in the tables of ``in_class_gradients`` theirs begin, and the id in them; by class, the places, where
+        they end and where their tables end; which windows are behind the one before them.
+        """
+        flat, runs = y.ravel(), -(-len(win) // step)
+        use = np.flatnonzero(flat >= 0)
+        key = use // (step * BLOCK) * CLASSES + self.cls.take(flat.take(use))
+        n = np.bincount(key, minlength=runs * CLASSES).reshape(runs, CLASSES)
+        use = use.take(np.argsort(key.astype(np.uint16) if runs * CLASSES <= 1 << 16 else key, kind="stable"))
+        ids = flat.take(use)
+        cls, (one, two) = self.cls.take(ids), neighbours(win, use, self.end_row)
+        start, each = self.starts_at().take(two * INPUTS + one), self.sizes.take(cls)
+        first, inside = np.cumsum(each) - each, self.place.take(self.row.take(ids)) - self.bounds.take(cls)
+        few = win.astype(np.uint16).view(np.uint64)  # compared four at a time
+        behind = np.zeros(len(win), bool)
+        (few[1:, : BLOCK // 4] == few[:-1, BLOCK // 4 :]).all(1, out=behind[1:])
+        behind[::step] = False
+        upto = np.cumsum(n.sum(1)).tolist()
+        by_class = zip(n.tolist(), np.cumsum(n, 1).tolist(), np.cumsum(n * self.sizes, 1).tolist())
+        for i, (a, b, c) in enumerate(zip([0, *upto], upto, by_class)):
+            yield use[a:b] - i * step * BLOCK, ids[a:b], cls[a:b], one[a:b], start[a:b], each[a:b], first[a:b] - (first[a] if a < b else 0), inside[a:b], c, behind[i * step : (i + 1) * step]
+
+    def in_class_gradients(self, h: np.ndarray, at):
+        """(probability of each id in its class, gradients of the summed negative logs of ``h`` and of ``wo``) at ``places``."""
+        _, ids, _, one, _, each, first, inside, (n, ends, cells), _ = at
+        starts, p = self.starts_inside(), self.share.take(ids)
+        z, start = np.empty(cells[-1], np.float32), np.empty(cells[-1], np.float32)  # all classes' tables (places, ids of the class)
+        some, wt = [], np.ascontiguousarray(self.wo.T)
+        for c, (k, b, d, lo, e) in enumerate(zip(n, ends, self.sizes.tolist(), self.bounds.tolist(), cells)):
             if k and d:  # not the class of ids without rows
                 zc, to, rows = z[e - k * d : e].reshape(k, d), slice(b - k, b), slice(lo, lo + d)
-                np.matmul(h[to], self.wo[rows].T, out=zc)
-                inside[c].take(one[to], 0, out=start[e - k * d : e].reshape(k, d), mode="clip")
+                np.matmul(h[to], wt[:, rows], out=zc)
+                starts[c].take(one[to], 0, out=start[e - k * d : e].reshape(k, d), mode="clip")
                 some.append((zc, to, rows))
-        np.clip(z, -40, 40, out=z)
+        own = len(ids) - n[-1]  # the class of ids without rows is the last
+        dh, dw = np.zeros_like(h), np.zeros_like(wt)
+        if not own:
+            return p, dh, np.ascontiguousarray(dw.T)
+        _within(z, -40, 40)
         np.exp(z, out=z)
         z *= start
-        own = len(ids) - int(n[-1])  # the class of ids without rows is the last
-        p[own:] = self.share.take(ids[own:])
-        if own:
-            each = np.repeat(size, n)[:own]
-            first = np.cumsum(each) - each
-            total = np.add.reduceat(z, first)
-            at = first + self.place.take(self.row.take(ids[:own])) - np.repeat(self.bounds[:-1], n)[:own]
-            p[:own] = z.take(at) / total
-            if grads:
-                z *= np.repeat(1 / total, each)
-                z[at] -= 1
-        if not grads:
-            return p
+        total = np.ones((len(ids), 1), np.float32)
+        total[:own, 0] = np.add.reduceat(z, first[:own])
+        own_at = first[:own] + inside[:own]
+        p[:own] = z.take(own_at) / total[:own, 0]
+        z[own_at] -= total[:own, 0]
+        part = (h / total).T  # divided here: fewer than the weights
         for zc, to, rows in some:
-            np.matmul(zc, self.wo[rows], out=dh[to])
-            np.matmul(zc.T, h[to], out=dw[rows])
-        return p, dh, dw
+            np.dot(zc, self.wo[rows], out=dh[to])
+            np.matmul(part[:, to], zc, out=dw[:, rows])
+        dh /= total
+        return p, dh, np.ascontiguousarray(dw.T)
 
     def log_probs(self, h: np.ndarray, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of the probabilities of the ids."""
-        out = np.empty(len(ids))
+        p = self.in_class(h, one, ids)
+        cls = self.cls.take(ids)
         for a in range(0, len(ids), _PART):
-            part = a + np.argsort(self.cls8.take(ids[a : a + _PART]), kind="stable")  # by class
-            z, total = self.class_weights(h[part], one[part], two[part])
-            p = z.ravel().take(np.arange(len(z)) * CLASSES + self.cls.take(ids[part])) / total
-            out[part] = np.log(p * self.in_class(h[part], one[part], ids[part]))
-        return out
-
-    def gradients(self, win: np.ndarray, y: np.ndarray):
-        """(mean loss, gradients of the summed loss by parameter, targets). Those of tables: (rows, gradient of each)."""
-        use = np.flatnonzero(y.ravel() >= 0)
-        use = use.take(np.argsort(self.cls8.take(y.ravel().take(use)), kind="stable"))  # by class
-        h, a, q, k, v, total = self.attention(win)
-        one, two = (x.ravel().take(use) for x in neighbours(win, self.end_row))
-        ids, hu = y.ravel().take(use), h.reshape(-1, D).take(use, 0)
-        m = len(use)
-        z, sums = self.class_weights(hu, one, two)
-        z /= sums[:, None]
-        inside, back, wo = self.in_class(hu, one, ids, True)
-        at = np.arange(m) * CLASSES + self.cls.take(ids)
-        loss = -np.log(z.ravel().take(at) * inside + 1e-30).sum() / m
-        z.ravel()[at] -= 1
-        back += z @ self.wc.T
-        dh = np.zeros_like(h)
-        dh.reshape(-1, D)[use] = back
-        dh /= total  # so that the weights need not be divided
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        da -= np.einsum("nid,nid->ni", dh, h)[:, :, None]
+            to = slice(a, a + _PART)
+            z, total = self.class_weights(h[to], self.starts_at().take(two[to] * INPUTS + one[to]))
+            p[to] *= z.ravel().take(np.arange(len(z)) * CLASSES + cls[to]) / total
+        return np.log(p)
+
+    def gradients(self, win: np.ndarray, y: np.ndarray, places=None, with_loss: bool = True):
+        """(mean loss or none, gradients of the summed loss by parameter, targets). Those of tables: (rows, gradient of each)."""
+        places = places or next(self.places(win, y, len(win)))
+        use, _, cls, _, start, _, _, _, _, behind = places
+        h, a, q, kv, total = self.attention(win)
+        hu, m = h.reshape(-1, D).take(use, 0), len(use)
+        z, sums = self.class_weights(hu, start)
+        inside, back, wo = self.in_class_gradients(hu, places)
+        at = np.arange(m) * CLASSES + cls
+        loss = float(-np.log(z.ravel().take(at) / sums * inside + 1e-30).sum() / m) if with_loss else None
+        z.ravel()[at] -= sums
+        back += (z @ np.ascontiguousarray(self.wc.T)) / sums[:, None]
+        wc = (hu / sums[:, None]).T @ z
+        # of the outputs, divided so that the weights need not be; 0 where there is no target
+        back /= total.reshape(-1, 1).take(use, 0)
+        at = np.full(y.size, m)
+        at[use] = np.arange(m)
+        dh = np.concatenate([back, np.zeros((1, D), np.float32)]).take(at, 0)
+        off = (dh * h.reshape(-1, D)) @ _ONES[:D]  # what the softmax takes off
+        dh = dh.reshape(-1, BLOCK, D)
+        da = np.matmul(dh, np.ascontiguousarray(kv[:, :, D:].transpose(0, 2, 1)))
+        da -= off.reshape(-1, BLOCK, 1)
         da *= a
-        far = np.bincount(np.abs(_DIST).ravel(), np.ones(len(da), np.float32) @ da.reshape(len(da), -1), 2 * BLOCK).astype(np.float32)
-        # of each place: its query, key and value, the latter two with what the next window adds
-        g = np.empty((len(win), BLOCK, 3 * D), np.float32)
-        np.matmul(da, k, out=g[:, :, :D])
-        dk, dv = np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)
-        g[:, :, D : 2 * D], g[:, :, 2 * D :] = dk[:, BLOCK:], dv[:, BLOCK:]
-        behind = np.r_[False, (win[1:, :BLOCK] == win[:-1, BLOCK:]).all(1)]
+        far = np.bincount(_FAR.ravel(), np.ones(len(da), np.float32) @ da.reshape(len(da), -1), 2 * BLOCK).astype(np.float32)
         alone = np.flatnonzero(~behind & (win[:, 0] != _PAD))
-        first = np.concatenate([np.zeros((len(alone), BLOCK, D), np.float32), dk[alone, :BLOCK], dv[alone, :BLOCK]], 2)
-        dk[~behind, :BLOCK], dv[~behind, :BLOCK] = 0, 0
-        g[:-1, :, D : 2 * D] += dk[1:, :BLOCK]
-        g[:-1, :, 2 * D :] += dv[1:, :BLOCK]
-        rows, g = _row_sums(np.r_[win[:, BLOCK:].ravel(), win[alone, :BLOCK].ravel()], np.concatenate([g, first]).reshape(-1, 3 * D))
-        return float(loss), {"wc": hu.T @ z, "wo": wo, "far": far, "eq": (rows, g[:, :D]), "ekv": (rows, g[:, D:])}, m
-
-    def step(self, win: np.ndarray, y: np.ndarray, acc: dict, rate: float) -> float:
-        """One Adagrad step on every place of the windows; the loss."""
-        loss, grads, m = self.gradients(win, y)
+        # of each place: its query, key and value, the latter two with what the next window adds
+        n, dkv = len(win), np.empty((len(win), 2 * BLOCK, 2 * D), np.float32)
+        g = np.empty((n + len(alone), BLOCK, 3 * D), np.float32)
+        np.matmul(da, kv[:, :, :D], out=g[:n, :, :D])
+        np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :D])
+        np.matmul(a.transpose(0, 2, 1), dh, out=dkv[:, :, D:])
+        g[n:, :, :D], g[n:, :, D:] = 0, dkv[alone, :BLOCK]
+        dkv[~behind, :BLOCK] = 0
+        dkv[:-1, BLOCK:] += dkv[1:, :BLOCK]
+        g[:n, :, D:] = dkv[:, BLOCK:]
+        rows, g = _row_sums(np.concatenate([win[:, BLOCK:], win[alone, :BLOCK]]).ravel(), g.reshape(-1, 3 * D))
+        return loss, {"wc": wc, "wo": wo, "far": far, "eq": (rows, g[:, :D]), "ekv": (rows, g[:, D:])}, m
+
+    def step(self, win: np.ndarray, y: np.ndarray, acc: dict, rate: float, places=None) -> None:
+        """One Adagrad step on every place of the windows."""
+        _, grads, m = self.gradients(win, y, places, False)
         for name, g in grads.items():
             x = getattr(self, name)
-            c = acc.setdefault(name, np.full(x.shape, 1e-2, np.float32))
+            if name not in acc:
+                acc[name] = np.full(x.shape, 1e-2, np.float32)
+            c = acc[name]
             rows = slice(None)
             if isinstance(g, tuple):
                 rows, g = g
@@ -381,7 +504,20 @@ class Model:
             to = c[rows] + g * g
             c[rows] = to
             x[rows] -= rate * g / np.sqrt(to)
-        return loss
+
+
+    def steps(self, win: np.ndarray, y: np.ndarray, acc: dict) -> None:
+        """Steps on STEP windows each, in turn."""
+        for a in range(0, len(win), _RUNS * STEP):
+            w, t = win[a : a + _RUNS * STEP], y[a : a + _RUNS * STEP]
+            for i, places in enumerate(self.places(w, t, STEP)):
+                self.step(w[i * STEP : (i + 1) * STEP], t[i * STEP : (i + 1) * STEP], acc, RATE, places)
+
+
+def _within(x: np.ndarray, low: float, high: float) -> None:
+    """Clips, if there is anything to clip: looking is several times faster."""
+    if x.size and (x.min() < low or x.max() > high):
+        np.clip(x, low, high, out=x)
 
 
 def _row_sums(rows: np.ndarray, g: np.ndarray):
@@ -424,7 +560,7 @@ def score_sequences(m: Model, seqs: list[np.ndarray]) -> np.ndarray:
         w, t = win[a : a + _CHUNK], y[a : a + _CHUNK]
         use = np.flatnonzero(t.ravel() >= 0)
         h = np.concatenate([m.attention(w[b : b + STEP])[0] for b in range(0, len(w), STEP)]).reshape(-1, D)
-        one, two = (x.ravel().take(use) for x in neighbours(w, m.end_row))
+        one, two = neighbours(w, use, m.end_row)
         lp = m.log_probs(h.take(use, 0), one, two, t.ravel().take(use))
         out += np.bincount(np.repeat(of[a : a + _CHUNK], BLOCK).take(use), lp, len(seqs))
     return out
@@ -438,23 +574,6 @@ def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return k[cut], np.add.reduceat(c, cut)
 
 
-def _cut(texts: list, seen: dict, sub: Subwords) -> list[np.ndarray]:
-    """The ids of whole texts, each closed by the end."""
-    seqs = []
-    for t in texts:
-        out: list[int] = []
-        for w in words_of(t):
-            v = seen.get(w)
-            if v is None:
-                v = sub.ids(w)
-                if len(seen) < _CACHE:
-                    seen[w] = v
-            out += v
-        out.append(sub.end)
-        seqs.append(np.array(out, np.uint16))
-    return seqs
-
-
 def word_hashes(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words of an id stream. ``starts[id]``: a word, or the end, begins there."""
     at = np.flatnonzero(starts[flat])
@@ -466,6 +585,30 @@ def word_hashes(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x ^ (x >> np.uint64(31)), at).view(np.int64)
 
 
+class Hashes:
+    """Well mixed hashes with a value each, found by their first bits and the few that share them."""
+
+    def __init__(self, h: np.ndarray, value: np.ndarray, bits: int = 20):
+        h = h.view(np.uint64)
+        order = np.argsort(h)
+        self.h, self.value, self.shift = np.r_[h[order], np.uint64(0)], np.r_[value[order], 0.0], np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.h[:-1] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray):
+        """(is it there, its value)"""
+        h = h.view(np.uint64)
+        slot = (h >> self.shift).view(np.int64)
+        at, end = self.begin.take(slot), self.begin.take(slot + 1)
+        there = (self.h.take(at) == h) & (at < end)
+        left = np.flatnonzero(~there & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit = self.h.take(at[left]) == h[left]
+            there[left[hit]] = True
+            left = left[~hit & (at[left] + 1 < end[left])]
+        return there, self.value.take(at)
+
+
 def _tokenized(rows: DataFrame, table_, kind: str) -> DataFrame:
     """Rows of four sorts: documents with their ids (2), and this task's counts of words (0), ids (1) and pairs of ids (3)."""
     names = ["sort", "rid", "doc_id", "held_out", "n_tokens", "ids", "h", "c"]
@@ -478,46 +621,48 @@ def _tokenized(rows: DataFrame, table_, kind: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        sub, seen = Subwords(table_.value), {}
-        ids, rid, held, size, id_type = np.zeros(sub.size, np.int64), TaskContext.get().partitionId() << 33, [], 0, None
+        sub = Subwords(table_.value)
+        known, ids, rid, id_type = Lexicon(sub), np.zeros(sub.size, np.int64), TaskContext.get().partitionId() << 33, None
         fresh, pairs = [], (np.empty(0, np.int64), np.empty(0, np.int64))
+
+        def summed():
+            got, c = np.unique(np.concatenate(fresh), return_counts=True)
+            got = got.astype(np.int64)
+            return _summed([pairs[0], got >> 16 << 20 | got & 0xFFFF], [pairs[1], c])
+
         for b in batches:
             out = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             id_type = b.column(0).type
-            for a in range(0, b.num_rows, 256):
-                seqs = _cut(b.column(1).slice(a, 256).to_pylist(), seen, sub)
-                k = len(seqs)
-                flat = np.concatenate(seqs)
-                lens = np.array([len(x) for x in seqs])
-                of = np.repeat(np.arange(k), lens)
-                begins = sub.starts[flat]
-                n_tokens = np.bincount(of[begins], minlength=k)
+            for a in range(0, b.num_rows, 1024):
+                numbers, n_tokens, flat, lens = known.cut(b.column(1).slice(a, 1024))
+                k = len(lens)
                 learn = ~out[a : a + k]
                 if learn.any():
-                    kept = flat[learn[of]]
-                    ids += np.bincount(kept, minlength=sub.size)
-                    held.append(word_hashes(kept, sub.starts))
-                    size += len(held[-1])
+                    known.count(numbers[np.repeat(learn, n_tokens)])
+                    kept = flat[np.repeat(learn, lens)].astype(np.uint32)
                     # a text begins behind an end, and each is closed by one
-                    fresh.append(np.r_[sub.end, kept[:-1]].astype(np.int64) << 20 | kept)
+                    fresh.append(np.r_[np.uint32(sub.end), kept[:-1]] << np.uint32(16) | kept)
                     if sum(map(len, fresh)) > 2_000_000:
-                        got = np.unique(np.concatenate(fresh), return_counts=True)
-                        pairs, fresh = _summed([pairs[0], got[0]], [pairs[1], got[1]]), []
+                        pairs, fresh = summed(), []
+                bounds = np.r_[0, 2 * np.cumsum(lens)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, 2, np.int32)), pa.array(np.arange(rid, rid + k)), b.column(0).slice(a, k), b.column(2).slice(a, k), pa.array(n_tokens, pa.int64()), pa.array([x.tobytes() for x in seqs], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names
+                    [pa.array(np.full(k, 2, np.int32)), pa.array(np.arange(rid, rid + k)), b.column(0).slice(a, k), b.column(2).slice(a, k), pa.array(n_tokens, pa.int64()), pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(bounds), pa.py_buffer(flat)]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names
                 )
                 rid += k
-                if size > 1_500_000:
-                    yield counted(0, *np.unique(np.concatenate(held), return_counts=True), id_type)
-                    held, size = [], 0
-        if held:
-            yield counted(0, *np.unique(np.concatenate(held), return_counts=True), id_type)
+                if known.full():
+                    h, c, more = known.counted()
+                    ids += more
+                    known = Lexicon(sub)
+                    yield counted(0, h, c, id_type)
+        h, c, more = known.counted()
+        ids += more
+        if len(h):
+            yield counted(0, h, c, id_type)
         at = np.flatnonzero(ids)
         if len(at):
             yield counted(1, at, ids[at], id_type)
         if fresh:
-            got = np.unique(np.concatenate(fresh), return_counts=True)
-            pairs = _summed([pairs[0], got[0]], [pairs[1], got[1]])
+            pairs = summed()
         if len(pairs[0]):
             yield counted(3, *pairs, id_type)
 
@@ -557,7 +702,7 @@ def _triples(docs: DataFrame, m: Model) -> np.ndarray:
                 first = np.cumsum([0, *map(len, seqs[:-1])])
                 two[first] = end
                 there, at = keys.find(two.astype(np.int64) * INPUTS + one)
-                total += np.bincount(at[there].astype(np.int64) * CLASSES + cls[r[there]], minlength=len(total))
+                np.add.at(total, at[there].astype(np.int64) * CLASSES + cls[r[there]], 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["k", "c"])
 
@@ -579,8 +724,7 @@ def _train(docs: DataFrame, m: Model) -> Model:
         def learn(final):
             nonlocal win, y, used
             n = len(win) if final else len(win) - len(win) % STEP
-            for a in range(0, n, STEP):
-                m.step(win[a : a + STEP], y[a : a + STEP], acc, RATE)
+            m.steps(win[:n], y[:n], acc)
             used += n
             win, y = win[n:], y[n:]
 
@@ -645,8 +789,7 @@ def _hot_words(counts: DataFrame):
         return 1 << 62, np.empty(0, np.int64), np.empty(0, np.int64)
     hot = counts.filter(F.col("c") >= ok).select("h", "c").toArrow()
     h, c = hot.column(0).to_numpy(), hot.column(1).to_numpy()
-    order = np.argsort(h)
-    return ok, h[order], c[order]
+    return ok, h, c
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -671,7 +814,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     names = ["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "score", "n_subwords", "tail"]
 
     def run(batches):
-        m, (hh, hl), begin = model.get(), hot.value, starts.value
+        m, words, begin = model.get(), Hashes(*hot.value), starts.value
         for b in batches:
             for a in range(0, b.num_rows, 64):
                 seqs = _sequences(b, 4, a, 64)
@@ -679,11 +822,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
                 lp = score_sequences(m, seqs) / np.log(10)
                 h = word_hashes(flat, begin)
                 of = np.repeat(np.arange(k), lens)[begin[flat]]
-                at = np.minimum(np.searchsorted(hh, h), max(0, len(hh) - 1))
-                known = hh[at] == h if len(hh) else np.zeros(len(h), bool)
+                known, logs = words.find(h)
                 tail, cut_at = h[~known], np.searchsorted(of[~known], np.arange(k + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, k), b.column(1).slice(a, k), b.column(2).slice(a, k), b.column(3).slice(a, k), pa.array(np.bincount(of[known], minlength=k), pa.int64()), pa.array(np.bincount(of[known], hl[at[known]] if len(hl) else None, k), pa.float64()),
+                    [b.column(0).slice(a, k), b.column(1).slice(a, k), b.column(2).slice(a, k), b.column(3).slice(a, k), pa.array(np.bincount(of[known], minlength=k), pa.int64()), pa.array(np.bincount(of[known], logs[known], k), pa.float64()),
                      pa.array(lp), pa.array(lens, pa.int64()), pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), pa.array(tail, pa.int64()))], names
                 )
 
