@@ -41,13 +41,22 @@ def fdbscan_batch(points: DataFrame, edges: DataFrame, params: DataFrame) -> Dat
     to_core = near.join(core.withColumnRenamed("p", "q"), ["candidate", "q"], "left_semi")
     inner = to_core.join(core, ["candidate", "p"], "left_semi")
     label = components(core.select("candidate", F.col("p").alias("node")), inner.filter("p < q").select("candidate", F.col("p").alias("a"), F.col("q").alias("b")), ["candidate"])
+    of = label.withColumnRenamed("node", "p")
+    border = to_core.join(core, ["candidate", "p"], "left_anti").join(of.withColumnRenamed("p", "q"), ["candidate", "q"]).select("candidate", "p", "label", "sim")
+    return members_of(of, border, label, "sim")
+
+
+def members_of(cores: DataFrame, border: DataFrame, labels: DataFrame, weight: str) -> DataFrame:
+    """(candidate, point, cluster, membership, core) from cores (candidate, p, label) and what other points have of a label (candidate, p, label, weight).
+
+    Clusters are numbered in the order of ``labels``.
+    """
     w = Window.partitionBy("candidate").orderBy("label")
-    number = label.select("candidate", "label").distinct().withColumn("cluster", (F.row_number().over(w) - 1).cast("int"))
-    of = label.join(number, ["candidate", "label"]).select("candidate", F.col("node").alias("p"), "cluster")
-    cores = of.select("candidate", F.col("p").alias("point"), "cluster", F.lit(1.0).alias("membership"), F.lit(True).alias("core"))
-    border = to_core.join(core, ["candidate", "p"], "left_anti").join(of.withColumnRenamed("p", "q"), ["candidate", "q"]).groupBy("candidate", "p", "cluster").agg(F.sum("sim").alias("s"))
+    number = labels.select("candidate", "label").distinct().withColumn("cluster", (F.row_number().over(w) - 1).cast("int"))
+    own = cores.join(number, ["candidate", "label"]).select("candidate", F.col("p").alias("point"), "cluster", F.lit(1.0).alias("membership"), F.lit(True).alias("core"))
+    part = border.groupBy("candidate", "p", "label").agg(F.sum(weight).alias("s")).join(number, ["candidate", "label"])
     share = F.col("s") / F.sum("s").over(Window.partitionBy("candidate", "p"))
-    return cores.unionByName(border.select("candidate", F.col("p").alias("point"), "cluster", share.alias("membership"), F.lit(False).alias("core")))
+    return own.unionByName(part.select("candidate", F.col("p").alias("point"), "cluster", share.alias("membership"), F.lit(False).alias("core")))
 
 
 def _one(spark, sim_min: float, mu_min: float) -> DataFrame:
@@ -163,8 +172,13 @@ def auto(points: DataFrame, edges: DataFrame, sim_min: float, mu_min: float) ->
 
 
 def sweep(points: DataFrame, edges: DataFrame, params: DataFrame) -> DataFrame:
+    """``assess`` of every setting."""
+    return assess(points, fdbscan_batch(points, edges, params), params)
+
+
+def assess(points: DataFrame, members: DataFrame, params: DataFrame) -> DataFrame:
     """Quality of every setting with core ratio, points in several clusters and mean membership entropy."""
-    members = cut_lineage(fdbscan_batch(points, edges, params))
+    members = cut_lineage(members)
     n = float(points.select("point").distinct().count())
     per = members.groupBy("candidate", "point").agg(F.count("*").alias("k"), F.max(F.col("core").cast("int")).alias("core"), (-F.sum(F.col("membership") * F.log("membership"))).alias("h"))
     more = per.groupBy("candidate").agg((F.sum("core") / n).alias("core_ratio"), (F.count(F.when(F.col("k") > 1, 1)) / n).alias("multi_border"), F.avg(F.when(F.col("core") == 0, F.col("h"))).alias("entropy"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -32,6 +33,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: later plans know its size.
+
+    A checkpoint keeps the estimate of the plan it cut, and estimates multiply at each join: after ten rounds of
+    joins with themselves they have millions of digits. ``unlink`` removes the table, or the session's end.
+    """
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    atexit.register(_remove, df.sparkSession, at)
+    return out
+
+
+def unlink(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that no later plan reads."""
+    for df in tables:
+        if getattr(df, "_written_at", None):
+            _remove(df.sparkSession, df._written_at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session, or its gateway, is already gone
+        return
+
+
 def fingerprint(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of the files of a table: a table that has changed has another one."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,26 +55,81 @@ def vector_rank_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-#: Vectors in a block, and rows of a block that are multiplied at once.
-BLOCK, TILE = 4096, 512
+#: Vectors in a block of a small table; blocks of a larger one, as each vector goes to so many tasks; vectors in a block at most;
+#: rows and columns of blocks that are multiplied at once.
+BLOCK, BLOCKS, LARGE, TILE, WIDE = 4096, 16, 131_072, 512, 2048
+
+
+def blocks_of(n: int) -> int:
+    """Blocks for n vectors: with their number bounded, what is dealt to pairs of them grows as the vectors do."""
+    return max(1, min(-(-n // BLOCK), BLOCKS), -(-n // LARGE))
+
+
+def deal(v: DataFrame, blocks: int) -> DataFrame:
+    """``v`` with its block, by a hash of the id."""
+    return v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+
+
+def deal_pairs(v: DataFrame, blocks: int) -> DataFrame:
+    """The rows of every two blocks x <= y, with ``block`` to tell them apart."""
+    put = deal(v, blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    put = put.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
+    return put.repartition(blocks * (blocks + 1) // 2, "x", "y")
+
+
+def two_sides(t: pa.Table, x: int, y: int) -> tuple[pa.Table, pa.Table]:
+    return t.filter(pc.equal(t["block"], x)), t.filter(pc.equal(t["block"], y))
+
+
+def one_size(*vecs: np.ndarray) -> None:
+    if len({v.shape[1] for v in vecs if len(v)}) > 1:
+        raise ValueError("vectors differ in size")
+
+
+def unit_rows(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of a column as a matrix, their lengths as ``cosine`` has them, and the vectors divided by those."""
+    a = col.combine_chunks()
+    sizes = pc.unique(pc.list_value_length(a)).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError("vectors differ in size")
+    v = a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), sizes[0] if sizes else 0)
+    length, unit = np.zeros(len(v)), np.empty(v.shape)
+    with np.errstate(all="ignore"):
+        for k in range(v.shape[1]):
+            x = v[:, k].astype(np.float64)
+            length += x * x
+        length = np.sqrt(length)
+        np.divide(v, np.where(length == 0, 1, length)[:, None], out=unit)
+    return v, length, unit
+
+
+def tame(*lengths: np.ndarray) -> bool:
+    """No product of two lengths comes near the ends of what a float holds."""
+    return all(((x == 0) | (x > 1e-140) & (x < 1e140) | ~np.isfinite(x)).all() for x in lengths)
+
+
+def cosines_in_order(a, b, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of rows p of a and q of b, added in the order of the components, so that the last digit is that of ``cosine``."""
+    x = np.zeros(len(p))
+    with np.errstate(all="ignore"):
+        for k in range(a.vec.shape[1]):
+            x += a.vec[p, k].astype(np.float64) * b.vec[q, k]
+        n = a.length[p] * b.length[q]
+        return np.divide(x, n, out=np.zeros_like(x), where=n != 0)
 
 
 def _block_pairs(vectors: DataFrame, run, schema: str) -> DataFrame:
     """``run(a, b, same)`` on the rows of every two blocks, each two once; ``same``: both are one block.
 
-    ``vectors``: id, vec and more; rows without an id or a vector take no part. Blocks are dealt by a hash of the id.
+    ``vectors``: id, vec and more; rows without an id or a vector take no part.
     """
     v = vectors.filter("id is not null and vec is not null")
-    blocks = max(1, -(-v.count() // BLOCK))
-    own = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    put = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    put = put.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
 
     def both(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = key
         return run(pdf[pdf["block"] == x], pdf[pdf["block"] == y], x == y)
 
-    return put.groupBy("x", "y").applyInPandas(both, schema)
+    return deal_pairs(v, blocks_of(v.count())).groupBy("x", "y").applyInPandas(both, schema)
 
 
 def _tiles(a: pd.DataFrame, b: pd.DataFrame, same: bool):
