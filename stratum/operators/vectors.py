@@ -38,23 +38,88 @@ def vector_rank(vectors: DataFrame, query: list[float], k: int, id_col: str = "i
     return vectors.select(id_col, F.round(cosine(F.col(vec_col), q), digits).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+#: Queries of a block of them, and blocks of vectors that the queries go to.
+QUERIES, SPREAD = 32_768, 64
+
+
 def vector_rank_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", digits: int = 9) -> DataFrame:
     """(query_id, rank, id, score) for a table of query vectors (query_id, query_vec).
 
-    The queries, a stated set, go to every task; each keeps its best k before the shuffle.
+    Blocks of vectors meet blocks of queries in products of matrices, and each keeps its best k before the shuffle.
+    Cosines that may be among them are computed once more in order. A null vector has a null score, which comes last.
     """
-    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    # lengths once a vector, not once a pair
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).withColumn("lv", length("v"))
-    j = v.join(F.broadcast(queries.withColumn("lq", length("query_vec"))), F.lit(True))
-    n = F.col("lv") * F.col("lq")
-    value = F.when(n == 0, 0.0).otherwise(dot(F.col("v"), F.col("query_vec")) / n)
-    value = F.when(F.size("v") == F.size("query_vec"), value).otherwise(F.raise_error(F.lit("vectors differ in size")).cast("double"))
-    s = j.select("query_id", "id", F.round(value, digits).alias("score"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    q = queries.select("query_id", F.col("query_vec").alias("vec"))
+    kinds = dict(v.dtypes)["id"], dict(q.dtypes)["query_id"]
+    schema = f"query_id {kinds[1]}, id {kinds[0]}, score double"
+    n = v.count()
+    x, y = max(1, min(-(-n // BLOCK), SPREAD), -(-n // LARGE)), max(1, -(-q.count() // QUERIES))
+    both = lambda own, of, others: F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda o: F.struct(F.pmod(F.xxhash64(own), F.lit(of)).cast("int").alias("own"), o.alias("other"))))
+    put_v = v.withColumn("at", both("id", x, y)).select(F.col("at.own").alias("x"), F.col("at.other").alias("y"), F.lit(False).alias("asks"), "id", F.lit(None).cast(kinds[1]).alias("query_id"), "vec")
+    put_q = q.withColumn("at", both("query_id", y, x)).select(F.col("at.other").alias("x"), F.col("at.own").alias("y"), F.lit(True).alias("asks"), F.lit(None).cast(kinds[0]).alias("id"), "query_id", "vec")
+    scale = 10.0**digits
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        ask, give = t.filter(t["asks"]), t.filter(pc.invert(t["asks"]))
+        give = give.take(pc.sort_indices(give, [("id", "ascending")], null_placement="at_start"))
+        pairs = []  # place in ask, place in give, score
+        if len(ask) and len(give) and k > 0:
+            (qn, ql, qu, q_at), (vn, vl, vu, v_at) = ((*unit_rows(z["vec"].filter(z["vec"].is_valid())), np.flatnonzero(z["vec"].is_valid().to_numpy())) for z in (ask, give))
+            one_size(qn, vn)
+            a, b = _Rows(qn, ql), _Rows(vn, vl)
+            slack = 4e-16 * (vu.shape[1] + 8) if tame(ql, vl) else np.inf
+            for i in range(0, len(qu), TILE):
+                p, at, s = _best(a, b, qu, vu, i, k, scale, slack)
+                pairs.append((q_at[p], v_at[at], s))
+            blank = np.flatnonzero(ask["vec"].is_null().to_numpy())
+            for rows, most in ((q_at, np.flatnonzero(give["vec"].is_null().to_numpy()) if len(v_at) < k else v_at[:0]), (blank, np.arange(len(give)))):
+                most = most[:k]
+                pairs.append((np.repeat(rows, len(most)), np.tile(most, len(rows)), None))
+        out = [pa.table([ask["query_id"].take(pa.array(p)), give["id"].take(pa.array(at)), pa.nulls(len(p), pa.float64()) if s is None else pa.array(s)], names=["query_id", "id", "score"]) for p, at, s in pairs]
+        return pa.concat_tables(out) if out else pa.table([ask["query_id"][:0], give["id"][:0], pa.array([], pa.float64())], names=["query_id", "id", "score"])
+
+    s = put_v.unionByName(put_q).repartition(x * y, "x", "y").groupBy("x", "y").applyInArrow(run, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+class _Rows:
+    def __init__(self, vec: np.ndarray, length: np.ndarray) -> None:
+        self.vec, self.length = vec, length
+
+
+def _best(a: _Rows, b: _Rows, qu: np.ndarray, vu: np.ndarray, i: int, k: int, scale: float, slack: float):
+    """(row of a, row of b, score in steps of 1 / scale) of the k best of b for each row of a from i, ties to the earlier row of b."""
+    u, step = qu[i : i + TILE], 1 / scale
+    row, at, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    worst = np.full(len(u), -np.inf)  # the k-th best so far: a later row has to be better by a step
+    with np.errstate(invalid="ignore"):
+        for j in range(0, len(vu), WIDE):
+            s = u @ vu[j : j + WIDE].T
+            s[np.isnan(s)] = np.inf
+            low = worst + step / 2 - slack
+            met = s >= low[:, None]
+            if s.shape[1] > k and np.count_nonzero(met) > 4 * k * len(u):
+                kth = np.partition(s, s.shape[1] - k, 1)[:, s.shape[1] - k]
+                met = s >= np.maximum(low, kth - step - slack)[:, None]
+            p, q = np.nonzero(met)
+            if not len(p):
+                continue
+            x = cosines_in_order(a, b, p + i, q + j)
+            x = np.where(np.isfinite(x), np.sign(x) * np.floor(np.abs(x) * scale + 0.5) / scale, x)
+            old = np.isin(row, p)
+            r, z, c = np.r_[row[old], p], np.r_[at[old], q + j], np.r_[score[old], x]
+            order = np.lexsort((z, -np.where(np.isnan(c), np.inf, c), r))
+            r, z, c = r[order], z[order], c[order]
+            first = np.r_[True, r[1:] != r[:-1]]
+            place = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+            keep = place < k
+            row, at, score = np.r_[row[~old], r[keep]], np.r_[at[~old], z[keep]], np.r_[score[~old], c[keep]]
+            full = place == k - 1
+            worst[r[full]] = np.where(np.isnan(c[full]), np.inf, c[full])
+    return row + i, at, score
+
+
 #: Vectors in a block of a small table; blocks of a larger one, as each vector goes to so many tasks; vectors in a block at most;
 #: rows and columns of blocks that are multiplied at once.
 BLOCK, BLOCKS, LARGE, TILE, WIDE = 4096, 16, 131_072, 512, 2048

@@ -66,3 +66,22 @@ def test_clusters_keep_no_table_of_pairs(spark, folder, monkeypatch, name):  # n
     within = [p for p, _ in m]
     want = {"fdbscan_noise": {r[0] for r in rows} - set(within), "membership_entropy": {p for p in within if within.count(p) > 1}, "fdbscan_members": set(within)}
     assert {r["point"] for r in catalog.QUERIES[name](spark, d).collect()} == want[name]
+
+
+def test_batch_ranking_meets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 30)
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    rng = np.random.default_rng(3)
+    m = rng.integers(-2, 3, (150, 4)).astype(float)  # with copies and rows of no length
+    v = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(m)] + [(900, None)], "id long, vec array<double>")
+    out = vectors.vector_rank_batch(v, v.filter("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), 6)
+    assert "NestedLoop" not in out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    n = np.sqrt((m * m).sum(1))
+    s = np.round(np.divide(m @ m.T, np.outer(n, n), out=np.zeros((150, 150)), where=np.outer(n, n) != 0), 9)
+    for k in range(0, 150, 10):
+        want = [(j, s[k, j]) for j in sorted(range(150), key=lambda j: (-s[k, j], j))[:6]]
+        assert [i for i, _ in got[k]] == [i for i, _ in want] and all(abs(a - b) < 2e-9 for (_, a), (_, b) in zip(got[k], want))
+    assert got[900] == [(j, None) for j in range(6)]
