@@ -35,6 +35,11 @@ def han_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"[{CJK}]"), F.lit(0))
 
 
+def han_string(c: Column) -> Column:
+    """The tokens of ``han_tokens`` side by side."""
+    return F.regexp_replace(c, f"[^{CJK}]+", "")
+
+
 def ko_tokens(c: Column) -> Column:
     """A token for each syllable or ideograph and for each run of ASCII letters and digits."""
     return F.regexp_extract_all(c, F.lit(f"[{HANGUL}]|[{CJK}]|[0-9A-Za-z]+"), F.lit(0))

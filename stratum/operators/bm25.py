@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.functions.text import index_tokens
+from stratum.functions.text import han_string, index_tokens
 
 K1, B, DIGITS = 1.2, 0.75, 6
 
@@ -25,6 +25,28 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, mode: str = "word",
     return docs.select(F.col(id_col).alias("id"), *keep, t.alias("tokens")).withColumn("n_tokens", F.size("tokens"))
 
 
+def build_characters(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """``build_index`` in mode ``han`` with the tokens, of one character each, as one string: searches are of parts of it."""
+    t = han_string(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col).alias("id"), *keep, t.alias("tokens")).withColumn("n_tokens", F.length("tokens"))
+
+
+def character_frequency(tokens: Column, phrase: Sequence[str]) -> Column:
+    """``phrase_frequency`` in a string of tokens of one character."""
+    word = "".join(phrase)
+    if any(len(t) != 1 for t in phrase):
+        return F.lit(0)
+    if any(word[:i] == word[-i:] for i in range(1, len(word))):  # occurrences may overlap
+        return F.regexp_count(tokens, F.lit(f"(?=\\Q{word}\\E)"))
+    less = F.octet_length(tokens) - F.octet_length(F.replace(tokens, F.lit(word), F.lit("")))
+    return (less / len(word.encode())).cast("int")
+
+
+def _frequency(index: DataFrame, phrase: Sequence[str]) -> Column:
+    of = character_frequency if dict(index.dtypes)["tokens"] == "string" else phrase_frequency
+    return of(F.col("tokens"), phrase)
+
+
 def phrase_frequency(tokens: Column, phrase: Sequence[str]) -> Column:
     """How often the phrase's tokens stand side by side; overlapping occurrences count."""
     k = len(phrase)
@@ -40,7 +62,7 @@ def index_stats(index: DataFrame, phrases: Sequence[Sequence[str]] = ()) -> Data
     """One row: n_docs, avg_len, and df_i for each phrase."""
     return index.agg(
         F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_len"),
-        *[F.count(F.when(phrase_frequency(F.col("tokens"), p) > 0, 1)).alias(f"df_{i}") for i, p in enumerate(phrases)],
+        *[F.count(F.when(_frequency(index, p) > 0, 1)).alias(f"df_{i}") for i, p in enumerate(phrases)],
     )
 
 
@@ -68,7 +90,7 @@ def search(index: DataFrame, phrases: Sequence[Sequence[str]], limit: int | None
     if where is not None:
         index = index.filter(where)
     # a generator stops the filter below from being pushed into the tokeniser, which would then run for each position
-    freqs = F.array(*[phrase_frequency(F.col("tokens"), p).cast("int") for p in phrases])
+    freqs = F.array(*[_frequency(index, p).cast("int") for p in phrases])
     hits = index.select(*cols, F.explode(F.array(freqs)).alias("f")).filter(F.exists("f", lambda x: x > 0))
     hits = hits.select(*cols, *[F.get("f", F.lit(i)).alias(f"f_{i}") for i in range(len(phrases))])
     avg, n = F.lit(s["avg_len"]), F.lit(float(s["n_docs"]))

@@ -85,3 +85,25 @@ def test_batch_ranking_meets_in_blocks(spark, monkeypatch):
         want = [(j, s[k, j]) for j in sorted(range(150), key=lambda j: (-s[k, j], j))[:6]]
         assert [i for i, _ in got[k]] == [i for i, _ in want] and all(abs(a - b) < 2e-9 for (_, a), (_, b) in zip(got[k], want))
     assert got[900] == [(j, None) for j in range(6)]
+
+
+def test_characters_as_a_string(spark):
+    from stratum.operators import bm25
+
+    docs = spark.createDataFrame([(1, "金金金城, 金 金城"), (2, "𠀀金𠀀金𠀀 x 城"), (3, None), (4, "abc"), (5, "城金城金城")], "id long, text string")
+    a, b = bm25.build_index(docs, "id", "text", "han"), bm25.build_characters(docs, "id", "text")
+    for phrases in ([["金"]], [["金", "金"]], [["城", "金", "城"]], [["𠀀", "金", "𠀀"], ["金", "城"]], [["金城"]], [[".", "金"]]):
+        want = bm25.search(a, phrases, 20).collect()
+        assert bm25.search(b, phrases, 20).collect() == want
+        assert bm25.index_stats(a, phrases).first() == bm25.index_stats(b, phrases).first()
+
+
+def test_han_index_holds_no_arrays(spark, tmp_path):
+    """An array of one-character strings took longer to write and to search than the limit allows at 6 GB."""
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "The other, the der", "en", "a"), (2, "Öder 山", "de", "b"), (3, None, "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    index = catalog.characters_index(spark, d, "han")
+    assert dict(index.dtypes)["tokens"] == "string"
+    assert [r["n_tokens"] for r in index.orderBy("id").collect()] == [14, 4, 0]
+    assert {r["id"] for r in catalog.bm25_han(spark, d).collect()} == {1, 2}
+    assert {r["term"]: r["cf"] for r in catalog.han_characters(spark, d).collect()}["山"] == 1
