@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,20 @@ def search_text(index: DataFrame, terms: Sequence[str], mode: str = "word", **kw
     return search(index, [r["p"] for r in rows], **kw)
 
 
+def count_characters(docs: DataFrame, text_col: str) -> DataFrame:
+    """(char, cf) of every character in a column, counted batch by batch, so that none becomes a row."""
+
+    def run(batches):
+        for b in batches:
+            text = b.column(0).drop_null().cast(pa.large_binary())
+            held = b"".join(text.to_pylist()).decode("utf-8", "replace").encode("utf-32-le")
+            n = np.bincount(np.frombuffer(held, np.uint32))
+            code = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in code.tolist()], pa.string()), pa.array(n[code], pa.int64())], ["char", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "char string, n long").groupBy("char").agg(F.sum("n").alias("cf"))
+
+
 def postings(index: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
     """(term, id, pos, n_tokens): write this partitioned or bucketed by term to serve many queries.
 

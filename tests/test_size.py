@@ -107,3 +107,13 @@ def test_han_index_holds_no_arrays(spark, tmp_path):
     assert [r["n_tokens"] for r in index.orderBy("id").collect()] == [14, 4, 0]
     assert {r["id"] for r in catalog.bm25_han(spark, d).collect()} == {1, 2}
     assert {r["term"]: r["cf"] for r in catalog.han_characters(spark, d).collect()}["山"] == 1
+
+
+def test_characters_are_counted_in_place(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "The kk K 山山𠀀", "en", "a"), (2, None, "en", "a"), (3, "", "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    out = catalog.han_characters(spark, d)
+    assert "Generate" not in out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    want = {catalog.han(c): n for c, n in (("t", 1), ("h", 1), ("e", 1))} | {"山": 2, "𠀀": 1}
+    want[catalog.han("k")] = want.get(catalog.han("k"), 0) + 3
+    assert {r["term"]: r["cf"] for r in out.collect()} == want
