@@ -62,6 +62,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Rows of a task in which large tables meet: what it sorts and hashes stays within some 200 MB, however large the tables.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: int, *tables: tuple[DataFrame, str]) -> list[DataFrame]:
+    """Tables, each with its column, dealt by that column into as many parts as ``rows`` rows need.
+
+    Parts that Spark chooses itself are joined up to a size of compressed bytes, which may be many millions of rows.
+    """
+    parts = max(int(tables[0][0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return [df.repartition(parts, key_col) for df, key_col in tables]
+
+
 def fingerprint(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of the files of a table: a table that has changed has another one."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -117,3 +117,24 @@ def test_characters_are_counted_in_place(spark, tmp_path):
     want = {catalog.han(c): n for c, n in (("t", 1), ("h", 1), ("e", 1))} | {"山": 2, "𠀀": 1}
     want[catalog.han("k")] = want.get(catalog.han("k"), 0) + 3
     assert {r["term"]: r["cf"] for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("name", [
+    "cooc_article",
+])
+def test_mentions_are_dealt_by_their_rows(spark, monkeypatch, name):
+    """A task of the join of lines with orders has so many rows at most, whatever Spark's own number of parts is."""
+    from stratum.operators import storage
+
+    parts, deal = [], storage.dealt
+
+    def seen(rows, *tables):
+        out = deal(rows, *tables)
+        parts.extend(df.rdd.getNumPartitions() for df in out)
+        return out
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 400)
+    monkeypatch.setattr(storage, "dealt", seen)
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001").limit(1).count()
+    lines = catalog.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert parts and min(parts) >= lines / 400 > 4
