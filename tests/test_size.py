@@ -131,6 +131,7 @@ def test_characters_are_counted_in_place(spark, tmp_path):
     "fdbscan_suggest",
     "lookup_occurrences",
     "place_clusters",
+    "place_noise",
 ])
 def test_mentions_are_dealt_by_their_rows(spark, monkeypatch, name):
     """A task of the join of lines with orders has so many rows at most, whatever Spark's own number of parts is."""
