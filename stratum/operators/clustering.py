@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .graph import degrees, jaccard, local_graph, pairs
-from .storage import cut_lineage
+from .storage import cut_lineage, written
 
 DEFAULTS = {"sim_min": 0.12, "mu_min": 0.5, "min_cooc": 2, "limit": 200}
 FACTORS = (0.7, 1.0, 1.5, 2.2)
@@ -75,6 +75,9 @@ def noise(points: DataFrame, members: DataFrame) -> DataFrame:
 #: One part in so many is how far a sketch may be off in rank.
 _ACCURACY = 20_000
 
+#: Groups that every task may hold.
+SMALL_GROUPS = 500_000
+
 
 def quantile(df: DataFrame, by: list[str], value: str, q: float, out: str = "q") -> DataFrame:
     """(by, out): the value at place floor(q * (n - 1)) in ascending order, of the values of each group; null if there are none.
@@ -90,8 +93,9 @@ def quantile(df: DataFrame, by: list[str], value: str, q: float, out: str = "q")
     # the place of a small group may be off by a row or two besides
     small = F.col("_n") <= 10 * _ACCURACY
     edge = edge.select(*keys, F.floor(F.lit(q) * (F.col("_n") - 1)).alias("_place"), F.when(small, F.col("_min")).otherwise(F.col("_lo")).alias("_lo"), F.when(small, F.col("_max")).otherwise(F.col("_hi")).alias("_hi"))
-    edge = cut_lineage(edge)
-    met = v.join(edge, keys).filter("_v <= _hi")
+    edge = written(edge, "edge")
+    # a join on so few keys would gather each group in one task
+    met = v.join(F.broadcast(edge) if edge.count() <= SMALL_GROUPS else edge, keys).filter("_v <= _hi")
     below = F.col("_v") < F.col("_lo")
     counts = met.groupBy(*keys, "_place", F.when(~below, F.col("_v")).alias("_v")).agg(F.count("*").alias("_k"))
     upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))

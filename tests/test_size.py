@@ -149,3 +149,16 @@ def test_mentions_are_dealt_by_their_rows(spark, monkeypatch, name):
     catalog.QUERIES[name](spark, "/root/testdata/sf0.001").limit(1).count()
     lines = catalog.table(spark, "/root/testdata/sf0.001", "lineitem").count()
     assert parts and min(parts) >= lines / 400 > 4
+
+
+def test_quantile_gathers_no_group(spark):
+    from stratum.operators import clustering
+
+    v = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), ((F.col("id") * 7919) % 3000).cast("double").alias("v"))
+    one = clustering.quantile(v, [], "v", 0.8)
+    assert "SortMergeJoin" not in one._sc._jvm.PythonSQLUtils.explainString(one._jdf.queryExecution(), "simple")
+    rows = v.collect()
+    at = lambda xs: sorted(xs)[int(0.8 * (len(xs) - 1))]
+    assert one.first()[0] == at([r["v"] for r in rows])
+    got = {r["g"]: r["q"] for r in clustering.quantile(v, ["g"], "v", 0.8).collect()}
+    assert got == {g: at([r["v"] for r in rows if r["g"] == g]) for g in "ab"}
