@@ -9,6 +9,8 @@ class. Cosines are whole numbers of 1e-9, so sums are exact and do not rest on a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -72,13 +74,13 @@ def _near(a: _Block, b: _Block, rows, j: int, least: int):
     return p[keep], q[keep], n[keep].astype(np.int64)
 
 
-def _tiles(a: _Block, b: _Block, same: bool, least: int):
-    """The pairs of two blocks that are similar enough, each once, tile by tile."""
+def _tiles(a: _Block, b: _Block, same: bool, least: Callable[[], int]):
+    """The pairs of two blocks that are similar enough, each once, tile by tile; ``least`` is asked before each tile."""
     for i in range(0, a.n, TILE):
         for j in range(0, b.n, WIDE):
             if same and j + WIDE <= i:
                 continue
-            p, q, n = _near(a, b, slice(i, i + TILE), j, least)
+            p, q, n = _near(a, b, slice(i, i + TILE), j, least())
             if same:
                 k = p < q
                 p, q, n = p[k], q[k], n[k]
@@ -129,7 +131,7 @@ def _densities(v: DataFrame, blocks: int, s: _Settings) -> DataFrame:
         b = a if same else _Block(tb)
         one_size(a.vec, b.vec)
         got = [np.zeros((z.n, k), np.int64) for z in ((a,) if same else (a, b))]
-        for p, q, n in _tiles(a, b, same, s.levels[0]):
+        for p, q, n in _tiles(a, b, same, lambda: s.levels[0]):
             top = np.searchsorted(levels, n, "right") - 1
             for out, at in ((got[0], p), (got[-1], q)):
                 if len(at):
@@ -156,12 +158,12 @@ def _classes(v: DataFrame, blocks: int, s: _Settings) -> DataFrame:
         core = s.cores(a.densities(len(s.levels)))
         label = [np.arange(a.n) for _ in s.names]
         left = {c for c in range(len(s.names)) if core[:, c].sum() > 1}
-        for p, q, n in _tiles(a, a, True, s.levels[0]):
+        for p, q, n in () if not left else _tiles(a, a, True, lambda: min(s.sim[c] for c in left)):
             for c in list(left):
                 e = (n >= s.sim[c]) & core[p, c] & core[q, c]
                 if e.any() and _join(label[c], p[e], q[e]) and len(set(label[c][core[:, c]].tolist())) == 1:
                     left.discard(c)
-            if not left:
+            if not left:  # what is one class already needs no more pairs
                 break
         at = np.stack([np.where(core[:, c], label[c], -1) for c in range(len(s.names))], 1).ravel()
         top = a.ids.take(pa.array(at, mask=at < 0))
@@ -197,7 +199,7 @@ def _between(v: DataFrame, blocks: int, s: _Settings) -> DataFrame:
                 if len(ka) and len(kb):
                     left[c] = (ka, kb, np.where(ta >= 0, np.searchsorted(ka, ta), -1), np.where(tb >= 0, np.searchsorted(kb, tb) + len(ka), -1), np.arange(len(ka) + len(kb)))
             graphs = dict(left)
-            for p, q, n in _tiles(a, b, False, s.levels[0]) if left else ():
+            for p, q, n in _tiles(a, b, False, lambda: min(s.sim[c] for c in left)) if left else ():
                 for c, (_, _, na, nb, label) in list(left.items()):
                     e = n >= s.sim[c]
                     u, w = na[p[e]], nb[q[e]]
